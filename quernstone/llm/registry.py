@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, minhash_dedup, substring_dedup
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op10_minhash_dedup": minhash_dedup.OP10_SQL,
+    }
