@@ -103,12 +103,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # Joins compare ids that may be null; a flag and a filled id make the keys plain.
     key = [F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("text_key").alias("k2")]
     back = [F.col("prev_id").isNull().alias("p0"), F.coalesce("prev_id", F.lit(0)).alias("p1"), F.col("prev_key").alias("p2")]
-    mine = rows.select("doc_id", "text", *key)
+    mine = rows.select("text", *key)  # the same columns on both sides of the last join: one exchange of texts serves both
     sent = mine.join(near.select(*key, *back, "prev_n").hint("shuffle_hash"), ["k0", "k1", "k2"])
     sent = sent.withColumn("head", F.expr("left(text, cast(floor(prev_n / 3) as int))"))
     sent = sketch_text(sent, "text", "next_sketch", "p0", "p1", "p2", "head")
     sent = sent.withColumnsRenamed({"p0": "k0", "p1": "k1", "p2": "k2"})
-    both = mine.join(sent, ["k0", "k1", "k2"]).select("doc_id", "text", "head", "next_sketch")
+    both = mine.join(sent.hint("shuffle_hash"), ["k0", "k1", "k2"])
+    both = both.select(F.when(~F.col("k0"), F.col("k1")).alias("doc_id"), "text", "head", "next_sketch")
 
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), "head")

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, substring_dedup
+from . import (
+    exact_dedup,
+    fingerprints,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    mixing,
+    packing,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_packing": packing.op2_packing,
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op4_license_scan": license_scan.op4_license_scan,
+        "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_mixing": mixing.op9_mixing,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
     }
 
@@ -17,5 +35,6 @@ def oracle_sql() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op9_mixing": mixing.OP9_SQL,
         "op10_minhash_dedup": minhash_dedup.OP10_SQL,
     }
