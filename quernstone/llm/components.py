@@ -15,6 +15,12 @@ def _stars(edges: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and two checksums of an edge table: equal when no edge changed."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.hash("v", "u"))).first())
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
@@ -26,16 +32,15 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     u, v = F.col(left), F.col(right)
     edges = edges.where(u.isNotNull() & v.isNotNull() & (u != v))
     edges = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "components")
-    while not edges.isEmpty():
+    state = _state(edges)
+    while state[0]:
         large = _stars(edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Every edge now points from greater to lesser; a small star needs lesser neighbours only.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(small, "components")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        before, state = state, _state(edges)
+        if state == before:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
