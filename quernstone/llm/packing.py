@@ -42,7 +42,7 @@ MOST_STEPS = 200
 #: A pattern that pads over a hundredth is only used more often than this.
 FEW = 64
 #: Chunks a worker remembers; the memory is emptied beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Left-over tails whose cuts are broadcast.
 MOST_SENT = 20_000
 #: Ranks within a class are counted in so many parallel parts.
@@ -87,31 +87,33 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, memory: dict, chunks: set[str], lead: str) -> None:
-        new = [c for c in chunks if c not in memory]
+        new = chunks.difference(memory)
         # Single line breaks between words are tokens of their own, too.
         lines = {c: c.split("\n") for c in new if "\n" in c}
-        lines = {c: p for c, p in lines.items() if all(x and not x[0].isspace() and not x[-1].isspace() for x in p)}
         if lines:
-            self._learn(memory, {p[0] for p in lines.values()}, lead)
-            self._learn(self.first, {x for p in lines.values() for x in p[1:]}, "")
+            new.difference_update(lines)
+            whole = {c: p for c, p in lines.items() if all(x and x.strip() is x for x in p)}
+            self._learn(memory, {p[0] for p in whole.values()}, lead)
+            self._learn(self.first, {x for p in whole.values() for x in p[1:]}, "")
             brk = array("I", [self.line]).tobytes()
-            memory.update((c, memory[p[0]] + b"".join(brk + self.first[x] for x in p[1:])) for c, p in lines.items())
-            new = [c for c in new if c not in memory]
-        # A space before white space, or at the end, joins a longer run: no ids of its own.
-        torn = [c for c in new if lead and (not c or c[0].isspace())]
-        if torn:
-            memory.update(dict.fromkeys(torn))
-            new = [c for c in new if c not in memory]
-        plain = [c for c in new if c and "\n" not in c and not c[-1].isspace() and not c[0].isspace()]
-        if self.fast and plain:
-            ids = np.array(self.fast("\n".join([lead + c for c in plain])), dtype="<u4")
+            memory.update((c, memory[p[0]] + b"".join([brk + self.first[x] for x in p[1:]])) for c, p in whole.items())
+            new.difference_update(memory)
+            lines = [c for c in lines if c not in whole]
+        plain = [c for c in new if c.strip() is c and c] if self.fast else []
+        if plain:
+            ids = np.array(self.fast(lead + f"\n{lead}".join(plain)), dtype="<u4")
             ends = np.flatnonzero(ids == self.line)
             if len(ends) == len(plain) - 1:
-                raw, bounds = ids.tobytes(), [0, *(4 * ends + 4).tolist(), 4 * len(ids) + 4]
-                memory.update(zip(plain, [raw[a : b - 4] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-                new = [c for c in new if c not in memory]
-        made = self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
-        memory.update(zip(new, (array("I", e.ids).tobytes() for e in made), strict=True))
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                memory.update(zip(plain, [raw[x:y] for x, y in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
+                new.difference_update(plain)
+        odd = [*new, *lines]
+        # A space before white space, or at the end, joins a longer run: no ids of its own.
+        torn = {c for c in odd if lead and (not c or c[0].isspace())}
+        memory.update(dict.fromkeys(torn))
+        odd = [c for c in odd if c not in torn]
+        made = self.tokenizer.encode_batch_fast([lead + c for c in odd], add_special_tokens=False)
+        memory.update(zip(odd, (array("I", e.ids).tobytes() for e in made), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > self.limit:
