@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def newlines(col: Column) -> Column:
@@ -26,7 +27,7 @@ def shingles(words_column: Column, width: int) -> Column:
     return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array(F.array_join(words_column, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC with line breaks as LF, trimmed; Spark has no such function of its own."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.replace("\r\n", "\n").replace("\r", "\n")).strip())
