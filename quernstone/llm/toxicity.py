@@ -9,11 +9,12 @@ weight. A logistic regression over words and word beginnings is then trained on
 the model's posterior labels, and it alone scores documents.
 
 Training reads at most about ``SAMPLE`` labelled rows of each class, by a hash of
-doc_id, from rows outside the held-out fifth. Everything else covers all rows.
+doc_id, from rows outside the held-out fifth. The chosen labels are broadcast, so
+no text is shuffled. Everything else covers all rows.
 
 Defined results: null, empty and wordless texts get the score of no feature.
-Without toxic training rows the lexicon votes alone. Labels that are null or
-repeat count once a row. Other columns are not read.
+Without toxic training rows the lexicon votes alone. Null labels don't count, and
+labels that repeat count once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -127,13 +128,14 @@ def fit_linear(sets: list[set[str]], target: np.ndarray, steps: int = 400) -> di
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    rows = docs.select("doc_id", "text").join(labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    rows = rows.where(~held_out(F.col("doc_id"), 5, 0))
-    usable = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col("toxic").cast("int")).count().collect()}
+    usable = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}  # a row a class
     share = F.when(F.col("toxic") == 1, F.lit(sample / max(1, counts.get(1, 1)))).otherwise(F.lit(sample / max(1, counts.get(0, 1))))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)
-    got = rows.where(chance < share).orderBy("doc_id").collect()  # at most about 2 * sample rows
+    chosen = usable.where(chance < share)  # about 2 * sample rows at most, whatever the size of the tables
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    order = ["doc_id", F.xxhash64("text"), "toxic"]
+    got = rows.orderBy(*order).limit(4 * sample).collect()  # the limit binds only where doc_ids repeat
     sets, y = [features(r["text"]) for r in got], np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
     if not got or not y.any():
         return {"": -3.0} | dict.fromkeys(LEXICON, 4.0)
