@@ -6,9 +6,12 @@ random probes (optimal densification). ``ROWS`` bins a band give bucket keys. In
 a bucket every set meets only the bucket's smallest id (a star), so a bucket of n
 proposes n-1 pairs. Pairs are confirmed on full sets, and components of the
 confirmed links follow. A star can miss a link between two leaves that both fail
-with its centre, so a second pass pairs, inside each bucket, only sets that are
-still in different components and whose sizes and bit sketches allow the
-threshold; groups of copies are one component by then and propose nothing.
+with its centre, so a second pass pairs leaves of one star that are still in
+different components and whose differences from the centre share enough; edits
+that each leaf has for itself propose nothing, so a large group of near copies
+gives no pairs by its square. Size and odd sketches, which never
+miss a link, must allow the threshold. Groups of
+copies are one component by then and propose nothing.
 
 Sets that are equal are one node from the start, so copies never form pairs.
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, read_table, word_hashes
+from .common import barrier, cut, mix64, read_table, word_hashes
 from .components import connected_components
 
 SLOTS, ROWS = 128, 4
@@ -35,13 +38,14 @@ BANDS = SLOTS // ROWS
 WIDTH = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Sketch bits that agree at the threshold: mean 118 of 128; this is 5 deviations below.
-LEAST_BITS = 102
+#: Longs of 64 bits in an odd sketch: which of so many buckets hold an odd number of a
+#: set's shingles. Sketches of two sets differ in at most as many bits as the sets do.
+ODD = 8
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFT = np.uint64(64 - 7)
 
-SIGNATURES = "doc_id long, n_shingles long, low long, high long, sketch_a long, sketch_b long, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, low long, high long, odd array<long>, bands array<long>"
 SETS = "id long, shingles array<long>"
 
 
@@ -91,7 +95,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
-        ("sketch_a", pa.int64()), ("sketch_b", pa.int64()), ("bands", pa.list_(pa.int64())),
+        ("odd", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
     ])
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -102,7 +106,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = signatures(sets)
                 low = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
                 high = np.array([np.add.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], dtype=np.uint64)
-                bits = np.packbits((mix64(rows) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                odd = np.array([np.bincount((s & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1 for s in sets], dtype=np.uint8)
+                odd = np.packbits(odd.reshape(-1, 64 * ODD), axis=1).view(np.int64)
+                odd_ends = np.arange(0, ODD * len(sets) + 1, ODD, dtype=np.int32)
                 keys = np.zeros((len(sets), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for j in range(ROWS):
                     keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, j::ROWS])
@@ -110,7 +116,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
-                     pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), bands], schema=schema)
+                     pa.ListArray.from_arrays(pa.array(odd_ends), pa.array(odd.ravel())), bands], schema=schema)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +131,33 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with ``linked``, whether their full sets reach the threshold, and
+    what the second pass needs of the leaf ``b``: its size ``n``, the size ``d`` of its
+    difference from the centre ``a``, and ``marks``, the first shingles of that difference.
+
+    In a difference, shingles that only the leaf has come first, then those that only
+    the centre has, each by value: an order all leaves of a centre share. With
+    J = PERCENT / 100 and two leaves x, y of sizes n and m, |x ^ y| = d(x) + d(y) - 2r,
+    where r is the size of what their differences share, so a link needs
+    2r >= d(x) + d(y) - (1 - J) / (1 + J) * (n + m). If one of them isn't linked with
+    the centre, that gives r > d * J / (1 + J) for a linked leaf, and for an unlinked
+    one the same or r >= d - (1 - J) / J * n. Marks are cut where less remains. A leaf
+    with at least n - ceil(J * n) + 1 shingles of its own meets its partners among
+    the first so many of them."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    return both.where(100 * F.col("shared") >= PERCENT * (F.col("sizes") - F.col("shared"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    parts = F.struct(F.array_except("set_b", "set_a").alias("own"), F.array_except("set_a", "set_b").alias("gone"), F.size("set_b").alias("n"))
+    both = barrier(both, "p", parts, "a", "b")
+    n, own, d = F.col("p.n"), F.size("p.own"), F.size("p.own") + F.size("p.gone")
+    shared = n - own
+    linked = 100 * shared >= PERCENT * (shared + d)
+    most = n - F.ceil(n * PERCENT / 100).cast("int") + 1
+    near = F.floor(d * 100 / (100 + PERCENT)).cast("int") + 1
+    far = F.greatest(near, F.floor(n * (100 - PERCENT) / PERCENT).cast("int") + 1)
+    marks = F.when(own >= most, F.slice("p.own", F.lit(1), most)).otherwise(F.slice(F.concat("p.own", "p.gone"), F.lit(1), F.when(linked, near).otherwise(far)))
+    return both.select("a", "b", linked.alias("linked"), n.alias("n_shingles"), d.alias("d"), marks.alias("marks"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -140,10 +166,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     node = ["n_shingles", "low", "high"]
     full = rows.where("n_shingles > 0")
     nodes = full.groupBy(*node).agg(
-        F.min("doc_id").alias("id"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.first("odd").alias("odd"), F.first("bands").alias("bands")
     )
     nodes = cut(nodes, "near-nodes")
-    entries = nodes.where("id IS NOT NULL").select("id", "n_shingles", "sketch_a", "sketch_b", F.explode("bands").alias("bucket"))
+    entries = nodes.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
     entries = cut(entries.join(shared.select("bucket", "centre"), "bucket"), "near-entries")
 
@@ -152,23 +178,34 @@ def near_components(docs: DataFrame) -> DataFrame:
     wanted = entries.select("id").distinct().hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL").join(wanted, "id", "left_semi")
     sets = cut(texts.mapInArrow(_full_sets, SETS), "near-sets")
-    links = cut(_confirmed(star, sets), "near-links")
+    compared = cut(_compared(star, sets), "near-compared")
+    links = compared.where("linked").select("a", "b")
     labels = connected_components(links, "a", "b")
 
-    # Second pass: what the stars left apart in a bucket.
-    mine = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = mine.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
-    apart = cut(mine.join(mixed, "bucket").drop("centre"), "near-apart")
-    one, two = apart.alias("x"), apart.alias("y")
-    agree = 128 - F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) - F.bit_count(F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b")))
+    # Second pass: leaves of one star that it left apart and whose differences from the centre meet.
+    about = nodes.where("id IS NOT NULL").select("id", F.col("n_shingles").cast("int").alias("n_shingles"), "odd")
+    about = about.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leaves = compared.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n_shingles", "d", "marks").join(about, ["id", "n_shingles"])
+    apart = leaves.groupBy("centre").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("centre")
+    leaves = leaves.join(apart, "centre")
+    leaves = cut(leaves.select(*[c for c in leaves.columns if c != "marks"], F.posexplode("marks").alias("at", "shingle")), "near-leaves")
+    key = ["centre", "shingle"]
+    mixed = leaves.groupBy(*key).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select(*key)
+    leaves = cut(leaves.join(mixed, key), "near-apart")
+    one, two = leaves.alias("x"), leaves.alias("y")
+    differ = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD)), F.lit(0))
     small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+    # Where a pair's first common shingle stands, no more than the shorter rest can be shared.
+    room = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")).cast("long")
+    needed = (100 + PERCENT) * (F.col("x.d") + F.col("y.d")) - (100 - PERCENT) * (small + large)
     rest = one.join(
         two,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        & (100 * small >= PERCENT * large) & (agree >= LEAST_BITS),
+        (F.col("x.centre") == F.col("y.centre")) & (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+        & (100 * small >= PERCENT * large) & (2 * (100 + PERCENT) * room >= needed) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (small + large)),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut(_confirmed(rest, sets), "near-links")
+    more = cut(_compared(rest, sets).where("linked").select("a", "b"), "near-links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), "a", "b")
 
