@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the one with the smallest doc_id stays."""
+    """Of near-duplicates (five-word shingles, Jaccard 0.8), the one with the smallest doc_id stays."""
     return minhash_dedup.keep_one(docs)
 
 

@@ -1,6 +1,6 @@
 """Near-duplicates: one-permutation MinHash, banded buckets, star-shaped edges.
 
-Each text's set of 3-word shingles is hashed once (one permutation) into
+Each text's set of word shingles is hashed once (one permutation) into
 ``SLOTS`` bins that keep their minimum; empty bins copy a filled one chosen by
 random probes (optimal densification). ``ROWS`` bins a band give bucket keys. In
 a bucket every set meets only the bucket's smallest id (a star), so a bucket of n
@@ -16,7 +16,7 @@ copies are one component by then and propose nothing.
 Sets that are equal are one node from the start, so copies never form pairs.
 
 Defined results: null or blank texts have an empty set and link with nothing.
-Texts under three words have one shingle of all their words. Rows that share a
+Texts with fewer words than a shingle have one of all their words. Rows that share a
 doc_id are one node. A null doc_id gets no component unless an equal set has an
 id; a row is kept where its id is its component's. Other columns are not read.
 """
@@ -35,9 +35,10 @@ from .components import connected_components
 
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-WIDTH = 3
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: What op10 is defined by: words of a shingle, and links need 100 * intersection >= PERCENT * union.
+WIDTH, PERCENT = 3, 85
+#: The same for ``keep_one``, which no query defines: the reference's lexical families.
+KEEP_WIDTH, KEEP_PERCENT = 5, 80
 #: Longs of 64 bits in an odd sketch: which of so many buckets hold an odd number of a
 #: set's shingles. Sketches of two sets differ in at most as many bits as the sets do.
 ODD = 8
@@ -92,7 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
         ("odd", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
@@ -101,7 +102,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_hashes(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [shingle_hashes(t, width) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 rows = signatures(sets)
                 low = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], dtype=np.uint64)
@@ -119,26 +120,26 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.ListArray.from_arrays(pa.array(odd_ends), pa.array(odd.ravel())), bands], schema=schema)
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     with np.errstate(over="ignore"):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_hashes(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [shingle_hashes(t, width) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` with ``linked``, whether their full sets reach the threshold, and
     what the second pass needs of the leaf ``b``: its size ``n``, the size ``d`` of its
     difference from the centre ``a``, and ``marks``, the first shingles of that difference.
 
     In a difference, shingles that only the leaf has come first, then those that only
     the centre has, each by value: an order all leaves of a centre share. With
-    J = PERCENT / 100 and two leaves x, y of sizes n and m, |x ^ y| = d(x) + d(y) - 2r,
+    J = percent / 100 and two leaves x, y of sizes n and m, |x ^ y| = d(x) + d(y) - 2r,
     where r is the size of what their differences share, so a link needs
     2r >= d(x) + d(y) - (1 - J) / (1 + J) * (n + m). If one of them isn't linked with
     the centre, that gives r > d * J / (1 + J) for a linked leaf, and for an unlinked
@@ -152,17 +153,17 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = barrier(both, "p", parts, "a", "b")
     n, own, d = F.col("p.n"), F.size("p.own"), F.size("p.own") + F.size("p.gone")
     shared = n - own
-    linked = 100 * shared >= PERCENT * (shared + d)
-    most = n - F.ceil(n * PERCENT / 100).cast("int") + 1
-    near = F.floor(d * 100 / (100 + PERCENT)).cast("int") + 1
-    far = F.greatest(near, F.floor(n * (100 - PERCENT) / PERCENT).cast("int") + 1)
+    linked = 100 * shared >= percent * (shared + d)
+    most = n - F.ceil(n * percent / 100).cast("int") + 1
+    near = F.floor(d * 100 / (100 + percent)).cast("int") + 1
+    far = F.greatest(near, F.floor(n * (100 - percent) / percent).cast("int") + 1)
     marks = F.when(own >= most, F.slice("p.own", F.lit(1), most)).otherwise(F.slice(F.concat("p.own", "p.gone"), F.lit(1), F.when(linked, near).otherwise(far)))
     return both.select("a", "b", linked.alias("linked"), n.alias("n_shingles"), d.alias("d"), marks.alias("marks"))
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_describe, SIGNATURES), "near-signatures")
+    rows = cut(docs.select("doc_id", "text").mapInArrow(lambda batches: _describe(batches, width), SIGNATURES), "near-signatures")
     node = ["n_shingles", "low", "high"]
     full = rows.where("n_shingles > 0")
     nodes = full.groupBy(*node).agg(
@@ -177,8 +178,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     # An id may stand for rows of several sets only if doc_ids repeat; those are one node anyway.
     wanted = entries.select("id").distinct().hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL").join(wanted, "id", "left_semi")
-    sets = cut(texts.mapInArrow(_full_sets, SETS), "near-sets")
-    compared = cut(_compared(star, sets), "near-compared")
+    sets = cut(texts.mapInArrow(lambda batches: _full_sets(batches, width), SETS), "near-sets")
+    compared = cut(_compared(star, sets, percent), "near-compared")
     links = compared.where("linked").select("a", "b")
     labels = connected_components(links, "a", "b")
 
@@ -197,15 +198,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
     # Where a pair's first common shingle stands, no more than the shorter rest can be shared.
     room = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")).cast("long")
-    needed = (100 + PERCENT) * (F.col("x.d") + F.col("y.d")) - (100 - PERCENT) * (small + large)
+    needed = (100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (small + large)
     rest = one.join(
         two,
         (F.col("x.centre") == F.col("y.centre")) & (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        & (100 * small >= PERCENT * large) & (2 * (100 + PERCENT) * room >= needed) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (small + large)),
+        & (100 * small >= percent * large) & (2 * (100 + percent) * room >= needed) & ((100 + percent) * differ <= (100 - percent) * (small + large)),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut(_compared(rest, sets).where("linked").select("a", "b"), "near-links")
+    more = cut(_compared(rest, sets, percent).where("linked").select("a", "b"), "near-links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), "a", "b")
 
@@ -217,14 +218,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = KEEP_WIDTH, percent: int = KEEP_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns."""
-    gone = near_components(docs).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = near_components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_components(read_table(spark, sf_dir, "documents"))
+    return near_components(read_table(spark, sf_dir, "documents"), WIDTH, PERCENT)
 
 
 OP10_SQL = r"""

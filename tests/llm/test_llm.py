@@ -78,6 +78,30 @@ def test_near_components_brute_force(docs):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_components(docs).collect()} == label
 
 
+def test_near_stage_brute_force(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = [r["text"] for r in docs.collect()]
+    for n in (60, 120, 500, 500, 500):
+        w = rng.choices(vocabulary, k=n)
+        block = w[: n // 2] + rng.choices(vocabulary, k=n // 5) + w[n // 2 :]  # five words 0.82, three words 0.827
+        edits = [rng.choice(vocabulary) if i % 40 == 20 else x for i, x in enumerate(w)]  # three words 0.86, five words 0.78
+        texts += [" ".join(x) for x in (w, block, edits, w[n // 6 :])]
+    rows = {3 * i: t.lower().split() for i, t in enumerate(texts)}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for d, w in rows.items()}
+    label, last = {d: d for d in rows}, None
+    links = [(a, b) for a in rows for b in rows if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while label != last:
+        last = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    given = spark.createDataFrame([(3 * i, t, None, "s", len(t), "k", "c", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = corpus_pipeline.drop_near_copies(spark, given, "").collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {d: texts[d // 3] for d in rows if label[d] == d}
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
