@@ -1,8 +1,11 @@
+import hashlib
 import random
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone import catalog
 from quernstone.functions import text
 from quernstone.operators import graph, selection, similarity
 from quernstone.sources import tables
@@ -71,6 +74,15 @@ def test_near_matches_equal_brute_force(spark):
     assert got == want
 
 
+def test_line_runs_of_a_long_conversation(spark, tmp_path):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"a{t}") for t in range(1500)] + [(2, t, ("user", "assistant")[t // 2 % 2], f"b{t}") for t in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    runs = [list(g) for _, g in groupby(rows, key=lambda r: (r[0], r[2]))]
+    want = [(g[0][2], len(g), hashlib.sha256("\n".join(r[3] for r in g).encode()).hexdigest()) for g in runs]
+    got = catalog.queries()["line_runs"](spark, str(tmp_path)).collect()
+    assert sorted((r["role"], r["n_lines"], r["joined"]) for r in got) == sorted(want)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("é\r\nx ", "Große It's")], "a string, b string")
     got = df.select(text.nfc("a"), text.words(F.col("b"))).first()
