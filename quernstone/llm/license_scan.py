@@ -6,7 +6,11 @@ from ``TEMPLATES`` (statements written for this purpose, varied by rule) and pla
 sentences; at most ``MOST_FEATURES`` weights come out, so the weight table is
 broadcast. Every feature holds a cue word of ``CUES``, so a paragraph without one
 has no feature and is unknown by the model itself: the scan finds cue words first
-and expands only paragraphs that have one. Probabilities are softened by a
+and expands only paragraphs that have one. A paragraph is a line; each line with a
+cue is also judged joined with the non-blank lines before and after it, for notices
+that are wrapped. The joined verdict counts where no line of the three has one of
+its own, or where it narrows the line's (``NARROWS``) and the text runs on over the
+line's end: no full stop before, no new statement after. Probabilities are softened by a
 temperature fitted on varied statements kept aside, and a best class below
 ``SURE`` is unknown. A prediction is confirmed if a template of its family shares
 ``ALIKE`` of the words of both.
@@ -24,7 +28,7 @@ import random
 from collections import Counter
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, barrier, cut, read_table
@@ -34,9 +38,9 @@ TEMPLATES = {
     "apache-2.0": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the apache license", "distributed under the terms of the apache 2.0 license"),
     "bsd": ("released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the 3 clause bsd license"),
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "available under the creative commons attribution license"),
-    "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 license", "available under cc by nc for non commercial use"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "released under the gpl version 2 or later"),
-    "lgpl": ("licensed under the gnu lesser general public license version 2.1", "released under the lgpl", "this library is free software under the gnu lesser general public license"),
+    "cc-by-nc": ("licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 license", "available under cc by nc for non commercial use", "licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under the creative commons attribution noncommercial license"),
+    "gpl": ("this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it under the terms of the gnu general public license", "released under the gpl version 2 or later", "licensed under gpl v3", "released under gpl v2"),
+    "lgpl": ("licensed under the gnu lesser general public license version 2.1", "released under the lgpl", "this library is free software under the gnu lesser general public license", "licensed under lgpl v3", "released under lgpl v2.1"),
     "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the terms of the mit license"),
     "mpl": ("subject to the terms of the mozilla public license version 2.0", "released under the mozilla public license", "licensed under the mpl 2.0"),
     "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "unlicensed proprietary and confidential"),
@@ -56,6 +60,10 @@ PLAIN = (
     "they released the software last year under a new name", "the license fee was paid in full by any person who came",
 )
 UNKNOWN = "unknown"
+#: Families whose statements contain those of a wider one.
+NARROWS = {"cc-by-nc": "cc-by", "lgpl": "gpl"}
+#: How a line starts that does not go on with the one before.
+_START = r"(?i)^\W*(?:un)?(?:licen[sc]ed|released|distributed|available|subject|this|permission|redistribution|copyright|all)\b"
 MOST_FEATURES, SURE, ALIKE = 4000, 0.5, 0.6
 _NOISE = "and of the in a this for with project code file text data see notice terms work it is all by from on".split()
 
@@ -130,13 +138,24 @@ def train(copies: int = 12, rounds: int = 25, seed: int = 11) -> tuple[dict, dic
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, paragraph, words`` of the paragraphs that have a cue word."""
-    cue = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(CUES)})(?![\p{{L}}\p{{N}}])"
+    """``doc_id, text_key, paragraph, joined, before, after, words`` of the lines that
+    have a cue word, alone and joined with their neighbours; ``before`` and ``after``
+    tell whether the text runs on over that end of the line."""
+    cue = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(CUES)})(?:(?![\p{{L}}\p{{N}}])|(?=v?[0-9]))"
     rows = docs.select("doc_id", "text").where(F.col("text").rlike(cue))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", r"\n")).alias("paragraph", "line")).where(F.col("line").rlike(cue))
-    plain = F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}.]", " ")
+    rows = barrier(rows.withColumn("text_key", F.xxhash64("text")), "lines", F.split("text", r"\n"), "doc_id", "text_key")
+    none = F.array(F.lit(""))
+    near = F.arrays_zip(F.concat(none, "lines").alias("prev"), F.col("lines").alias("line"), F.concat(F.expr("slice(lines, 2, size(lines))"), none).alias("next"))
+    rows = rows.select("doc_id", "text_key", F.posexplode(near).alias("paragraph", "near")).where(F.col("near.line").rlike(cue))
+    rows = rows.select("doc_id", "text_key", "paragraph", "near.*")
+    runs_on = lambda one, two: (F.trim(one) != "") & (F.trim(two) != "") & ~F.col(one).rlike(r"[.!?;:]\s*$") & ~F.col(two).rlike(_START)
+    beside = (F.trim("prev") != "") | (F.trim("next") != "")
+    both = F.when(beside, F.array(F.col("line"), F.concat_ws(" ", "prev", "line", "next"))).otherwise(F.array("line"))
+    rows = rows.select("doc_id", "text_key", "paragraph", runs_on("prev", "line").alias("before"), runs_on("line", "next").alias("after"), F.posexplode(both).alias("joined", "line"))
+    split = F.regexp_replace(F.lower("line"), rf"(?<![\p{{L}}\p{{N}}])({'|'.join(CUES)})(?=v?[0-9])", "$1 ")
+    plain = F.regexp_replace(split, r"[^\p{L}\p{N}.]", " ")
     plain = F.trim(F.regexp_replace(plain, r"\.(?= |$)", " "))
-    return rows.select("doc_id", "text_key", "paragraph", F.filter(F.split(plain, GAP), lambda w: w != "").alias("words"))
+    return rows.select("doc_id", "text_key", "paragraph", "joined", "before", "after", F.filter(F.split(plain, GAP), lambda w: w != "").alias("words"))
 
 
 def classify(found: DataFrame) -> DataFrame:
@@ -146,7 +165,7 @@ def classify(found: DataFrame) -> DataFrame:
     families = [*TEMPLATES, UNKNOWN]
     # At most MOST_FEATURES rows with a weight for each family.
     table = spark.createDataFrame([(g, [w[f] for f in families]) for g, w in weights.items()], "gram string, weight array<double>")
-    key = ["doc_id", "text_key", "paragraph"]
+    key = ["doc_id", "text_key", "paragraph", "joined", "before", "after"]
     two = F.transform(F.arrays_zip(F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b")), lambda s: F.concat_ws(" ", s["a"], s["b"]))
     three = F.transform(
         F.arrays_zip(F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b"), F.expr("slice(words, 3, size(words))").alias("c")),
@@ -172,9 +191,30 @@ def classify(found: DataFrame) -> DataFrame:
     return scored.select(*key, "family", "confidence", (likest >= ALIKE).alias("confirmed"))
 
 
+def stated(found: DataFrame) -> DataFrame:
+    """One verdict a line: its own, or that of the joined text where that counts."""
+    key = ["doc_id", "text_key", "paragraph"]
+    verdict = F.struct("family", "confidence", "confirmed")
+    rows = found.groupBy(*key).agg(
+        F.first("before").alias("before"), F.first("after").alias("after"),
+        F.max(F.when(F.col("joined") == 0, verdict)).alias("own"), F.max(F.when(F.col("joined") == 1, verdict)).alias("wide"),
+    )
+    lines = Window.partitionBy("doc_id", "text_key").orderBy("paragraph").rangeBetween(-1, 1)
+    rows = rows.withColumn("stated", F.count("own").over(lines))
+    wider = F.element_at(F.create_map(*[F.lit(x) for pair in NARROWS.items() for x in pair]), F.col("wide.family"))
+    narrowed = F.col("own").isNotNull() & (wider == F.col("own.family")) & (F.col("before") | F.col("after"))
+    rows = rows.withColumn("verdict", F.when(F.coalesce(narrowed, F.lit(False)) | (F.col("stated") == 0), F.col("wide")).otherwise(F.col("own")))
+    # A line that goes on with one that took a joined verdict of the same family is the same notice.
+    taken = F.when((F.col("verdict") == F.col("wide")) & (F.col("own").isNull() | narrowed), F.col("wide.family"))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("paragraph").rangeBetween(-1, -1)
+    rows = rows.withColumn("taken", taken).withColumn("same", F.max("taken").over(order))
+    rows = rows.where("verdict IS NOT NULL AND NOT coalesce(before AND verdict.family = same, false)")
+    return rows.select(*key, "verdict.*")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, licence, families, n_paragraphs, confidence, confirmed`` for every row."""
-    found = cut(classify(paragraphs(docs)), "licence-paragraphs")
+    found = cut(stated(classify(paragraphs(docs))), "licence-paragraphs")
     best = F.min(F.struct((-F.col("confidence")).alias("down"), "family", (~F.col("confirmed")).alias("doubt")))
     by_doc = found.groupBy("doc_id", "text_key").agg(
         best.alias("best"), F.sort_array(F.collect_set("family")).alias("families"), F.count(F.lit(1)).alias("n")

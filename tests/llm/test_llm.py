@@ -171,6 +171,16 @@ def test_license_scan(spark):
     assert got == {0: "mit", 1: "apache-2.0", 2: None, 3: None, 4: "cc-by-nc"}
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    texts = [
+        "x\nLicensed under the Creative Commons Attribution-\nNonCommercial 4.0 International License\ny", "GNU Lesser General Public\nLicense", "This code is licensed under GPLv3.",
+        "Released under the MIT License\nReleased under the GPL version 2", "Released under the GPL version 2\nReleased under the LGPL", "the plain\nold text", "Released under\nLGPLv2.1",
+    ]
+    got = {r["doc_id"]: (r["licence"], r["families"], r["n_paragraphs"]) for r in license_scan.scan(odd_docs(spark, texts)).collect()}
+    assert got[0] == ("cc-by-nc", ["cc-by-nc"], 1) and got[1] == ("lgpl", ["lgpl"], 1) and got[2][0] == "gpl"
+    assert got[3][1:] == (["gpl", "mit"], 2) and got[4][1:] == (["gpl", "lgpl"], 2) and got[5] == (None, [], 0) and got[6][0] == "lgpl"
+
+
 @pytest.mark.parametrize("rows", [ODD, [], [None, None]])
 def test_odd_input(spark, rows):
     docs = odd_docs(spark, rows)
