@@ -3,15 +3,17 @@
 Each text's set of word shingles is hashed once (one permutation) into
 ``SLOTS`` bins that keep their minimum; empty bins copy a filled one chosen by
 random probes (optimal densification). ``ROWS`` bins a band give bucket keys. In
-a bucket every set meets only the bucket's smallest id (a star), so a bucket of n
-proposes n-1 pairs. Pairs are confirmed on full sets, and components of the
-confirmed links follow. A star can miss a link between two leaves that both fail
-with its centre, so a second pass pairs leaves of one star that are still in
-different components and whose differences from the centre share enough; edits
-that each leaf has for itself propose nothing, so a large group of near copies
-gives no pairs by its square. Size and odd sketches, which never
-miss a link, must allow the threshold. Groups of
-copies are one component by then and propose nothing.
+a bucket one set, chosen by a hash, meets the others (a star), so a bucket of n
+proposes n-1 pairs, and sets that share several buckets meet several centres.
+Size and odd sketches, which never miss a link, must allow the threshold; what
+they leave is confirmed on full sets, and components of the links follow.
+
+A star can miss a link between two leaves that both fail with its centre. Buckets
+that still hold several components are therefore searched whole, once, by a prefix
+filter over their sets, which is exact: two sets that link share one of the rarest
+shingles of both. Groups of near copies are one component by then, edits that each
+copy has for itself meet nothing, and sketches part the rest, so few pairs of
+different components come out, however large a group is.
 
 Sets that are equal are one node from the start, so copies never form pairs.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import barrier, cut, mix64, read_table, word_hashes
@@ -41,7 +43,9 @@ WIDTH, PERCENT = 3, 85
 KEEP_WIDTH, KEEP_PERCENT = 5, 80
 #: Longs of 64 bits in an odd sketch: which of so many buckets hold an odd number of a
 #: set's shingles. Sketches of two sets differ in at most as many bits as the sets do.
-ODD = 8
+ODD = 32
+#: Turns of stars before what they leave apart is searched whole.
+TURNS = 1
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFT = np.uint64(64 - 7)
@@ -132,33 +136,68 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` with ``linked``, whether their full sets reach the threshold, and
-    what the second pass needs of the leaf ``b``: its size ``n``, the size ``d`` of its
-    difference from the centre ``a``, and ``marks``, the first shingles of that difference.
-
-    In a difference, shingles that only the leaf has come first, then those that only
-    the centre has, each by value: an order all leaves of a centre share. With
-    J = percent / 100 and two leaves x, y of sizes n and m, |x ^ y| = d(x) + d(y) - 2r,
-    where r is the size of what their differences share, so a link needs
-    2r >= d(x) + d(y) - (1 - J) / (1 + J) * (n + m). If one of them isn't linked with
-    the centre, that gives r > d * J / (1 + J) for a linked leaf, and for an unlinked
-    one the same or r >= d - (1 - J) / J * n. Marks are cut where less remains. A leaf
-    with at least n - ceil(J * n) + 1 shingles of its own meets its partners among
-    the first so many of them."""
+def _sketches_fit(percent: int) -> Column:
+    """Whether sizes ``n_a, n_b`` and odd sketches ``odd_a, odd_b`` allow the threshold; true for every link."""
+    both = F.col("n_a") + F.col("n_b")
+    bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & ((100 + percent) * bits <= (100 - percent) * both)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
-    parts = F.struct(F.array_except("set_b", "set_a").alias("own"), F.array_except("set_a", "set_b").alias("gone"), F.size("set_b").alias("n"))
-    both = barrier(both, "p", parts, "a", "b")
-    n, own, d = F.col("p.n"), F.size("p.own"), F.size("p.own") + F.size("p.gone")
-    shared = n - own
-    linked = 100 * shared >= percent * (shared + d)
-    most = n - F.ceil(n * percent / 100).cast("int") + 1
-    near = F.floor(d * 100 / (100 + percent)).cast("int") + 1
-    far = F.greatest(near, F.floor(n * (100 - percent) / percent).cast("int") + 1)
-    marks = F.when(own >= most, F.slice("p.own", F.lit(1), most)).otherwise(F.slice(F.concat("p.own", "p.gone"), F.lit(1), F.when(linked, near).otherwise(far)))
-    return both.select("a", "b", linked.alias("linked"), n.alias("n_shingles"), d.alias("d"), marks.alias("marks"))
+    both = barrier(both, "p", F.struct(F.size(F.array_intersect("set_a", "set_b")).alias("k"), (F.size("set_a") + F.size("set_b")).alias("n")), "a", "b")
+    return both.where(100 * F.col("p.k") >= percent * (F.col("p.n") - F.col("p.k"))).select("a", "b")
+
+
+def _mixed(entries: DataFrame, key: str) -> DataFrame:
+    """The keys whose entries are of more than one component."""
+    ends = entries.groupBy(key).agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return ends.where("c0 < c1").select(key)
+
+
+def _star_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: in each bucket of several components, one entry against those of other components.
+
+    The centre is the least by a hash of id, bucket and turn, so sets that share several
+    buckets meet several centres, and other ones at each turn: n - 1 pairs a bucket at most."""
+    order = F.xxhash64("id", "bucket", F.lit(turn))
+    pick = F.min(F.struct(order.alias("o"), "id", "component"))
+    centre = entries.groupBy("bucket").agg(pick.alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    pairs = entries.join(centre.select("bucket", F.col("c.id").alias("centre"), F.col("c.component").alias("of")), "bucket").where("component <> of")
+    return pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+
+
+def _described(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    one = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
+    two = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
+    return pairs.join(one, "a").join(two, "b")
+
+
+def _rest_pairs(entries: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every pair of different components that can still link, among the sets of mixed buckets.
+
+    Prefix filter: of a set of n shingles in one order for all, the first n - ceil(J * n) + 1
+    hold one of any set it links with. The order is by how many of these sets have a
+    shingle, so edits come first and what a group shares comes last."""
+    live = entries.join(_mixed(entries, "bucket"), "bucket", "left_semi").select("id", "component").distinct()
+    held = sets.join(live, "id").select("id", "component", F.explode("shingles").alias("shingle"))
+    held = cut(held, "near-held")
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    common = held.join(common.where("df > 1"), "shingle")
+    found = common.groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("c0") < F.col("c1")).alias("mixed")))).alias("g"))
+    found = found.join(nodes.select("id", "n_shingles", "odd"), "id")
+    n = F.col("n_shingles").cast("int")
+    # A shingle that no other set has comes first and meets nothing.
+    reach = n - F.ceil(n * percent / 100).cast("int") + 1 - (n - F.size("g"))
+    heads = found.select("id", "component", "n_shingles", "odd", F.explode(F.slice("g", F.lit(1), F.greatest(reach, F.lit(0)))).alias("h"))
+    heads = cut(heads.where("h.mixed").select("id", "component", "n_shingles", "odd", "h.shingle"), "near-heads")
+    one = heads.select("shingle", F.col("id").alias("a"), F.col("component").alias("x"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
+    two = heads.select("shingle", F.col("id").alias("b"), F.col("component").alias("y"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
+    return one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sketches_fit(percent)).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -171,44 +210,33 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
     nodes = cut(nodes, "near-nodes")
     entries = nodes.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
-    entries = cut(entries.join(shared.select("bucket", "centre"), "bucket"), "near-entries")
+    shared = entries.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
+    entries = cut(entries.join(shared.select("bucket"), "bucket", "left_semi"), "near-entries")
 
-    star = entries.where("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     # An id may stand for rows of several sets only if doc_ids repeat; those are one node anyway.
-    wanted = entries.select("id").distinct().hint("shuffle_hash")
+    wanted = entries.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL").join(wanted, "id", "left_semi")
     sets = cut(texts.mapInArrow(lambda batches: _full_sets(batches, width), SETS), "near-sets")
-    compared = cut(_compared(star, sets, percent), "near-compared")
-    links = compared.where("linked").select("a", "b")
-    labels = connected_components(links, "a", "b")
-
-    # Second pass: leaves of one star that it left apart and whose differences from the centre meet.
-    about = nodes.where("id IS NOT NULL").select("id", F.col("n_shingles").cast("int").alias("n_shingles"), "odd")
-    about = about.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    leaves = compared.select(F.col("a").alias("centre"), F.col("b").alias("id"), "n_shingles", "d", "marks").join(about, ["id", "n_shingles"])
-    apart = leaves.groupBy("centre").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("centre")
-    leaves = leaves.join(apart, "centre")
-    leaves = cut(leaves.select(*[c for c in leaves.columns if c != "marks"], F.posexplode("marks").alias("at", "shingle")), "near-leaves")
-    key = ["centre", "shingle"]
-    mixed = leaves.groupBy(*key).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select(*key)
-    leaves = cut(leaves.join(mixed, key), "near-apart")
-    one, two = leaves.alias("x"), leaves.alias("y")
-    differ = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD)), F.lit(0))
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    # Where a pair's first common shingle stands, no more than the shorter rest can be shared.
-    room = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")).cast("long")
-    needed = (100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (small + large)
-    rest = one.join(
-        two,
-        (F.col("x.centre") == F.col("y.centre")) & (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        & (100 * small >= percent * large) & (2 * (100 + percent) * room >= needed) & ((100 + percent) * differ <= (100 - percent) * (small + large)),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut(_compared(rest, sets, percent).where("linked").select("a", "b"), "near-links")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more), "a", "b")
+    about = nodes.where("id IS NOT NULL").select("id", "n_shingles", "odd")
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        found = entries.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return cut(found.select("id", "bucket", F.coalesce("component", "id").alias("component")), "near-labelled")
+
+    links = labels = None
+    for turn in range(TURNS + 1):
+        state = entries.withColumn("component", F.col("id")) if labels is None else labelled(labels)
+        if turn < TURNS:
+            pairs = _described(_star_pairs(state, turn), about).where(_sketches_fit(percent)).select("a", "b")
+        else:
+            pairs = _rest_pairs(state, about, sets, percent)
+        found = cut(_linked(pairs, sets, percent), "near-links")
+        if turn and found.isEmpty():
+            if turn < TURNS:
+                continue
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links, "a", "b")
 
     components = nodes.select(*node, "id").join(labels, F.col("id") == F.col("node"), "left").select(*node, F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", *node).join(components, node, "left")

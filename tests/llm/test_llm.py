@@ -78,6 +78,42 @@ def test_near_components_brute_force(docs):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_components(docs).collect()} == label
 
 
+def star_texts(copies, seed=5):
+    """A base, and copies too far from it that come in pairs near to one another only."""
+    rng = random.Random(seed)
+    base, texts = [f"b{i}" for i in range(200)], []
+    texts.append(base)
+    for i in range(copies):
+        w = list(base)
+        for at in rng.sample(range(200), 14):
+            w[at] = f"x{i}-{at}"
+        near = list(w)
+        near[rng.randrange(200)] = "y"
+        texts += [w, near]
+    return [" ".join(w) for w in texts]
+
+
+def test_leaves_that_link_only_with_one_another(spark, monkeypatch):
+    pairs, made = {}, []
+    search = minhash_dedup._rest_pairs
+
+    def counted(*given):
+        found = search(*given)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_dedup, "_rest_pairs", counted)
+    for copies in (20, 200):
+        texts = star_texts(copies)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in map(str.split, texts)]
+        apart = [100 * len(sets[0] & s) < 85 * len(sets[0] | s) for s in sets[1:]]
+        got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_components(docs).collect()}
+        assert all(apart) and got == {0: 0} | {i: i - (i % 2 == 0) for i in range(1, len(texts))}
+        pairs[copies] = made.pop()
+    assert pairs[200] <= 12 * pairs[20]
+
+
 def test_near_stage_brute_force(spark, docs):
     import corpus_pipeline
 
