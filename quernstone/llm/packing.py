@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ FEW = 64
 REMEMBERED = 800_000
 #: Left-over tails whose cuts are broadcast.
 MOST_SENT = 20_000
-#: Ranks within a class are counted in so many parallel parts.
-PARTS = 64
+#: Ranks within a class are counted in parallel parts of about so many rows, and so many parts at least.
+PART_ROWS, PARTS = 100_000, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -69,7 +70,8 @@ class Encoder:
     call, one to a line; a line break is a token of its own between them. They go
     through tiktoken, with ranks made from the same file's vocabulary, as it costs
     a third of the other library's time; texts with other spacing, and files that
-    aren't such a vocabulary, are encoded by tokenizers itself."""
+    aren't such a vocabulary, are encoded by tokenizers itself. So are texts with the
+    string of an added token, which is that token's id."""
 
     def __init__(self, path: str, limit: int = REMEMBERED) -> None:
         import os
@@ -78,7 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.inner, self.first = limit, {}, {}
         self.line = self.tokenizer.token_to_id("\u010a")
         self.fast = _ranked_bpe(self.tokenizer)
@@ -120,7 +122,8 @@ class Encoder:
             self.inner.clear()
         if len(self.first) > self.limit // 2:
             self.first.clear()
-        split = [t.split(" ") for t in texts]
+        whole = {t for t in texts if any(a in t for a in self.added)}
+        split = [(t if t not in whole else "").split(" ") for t in texts]
         self._learn(self.first, {c[0] for c in split}, "")
         new = set()
         for chunks in split:
@@ -128,6 +131,9 @@ class Encoder:
         self._learn(self.inner, new, " ")
         out, get = [], self.inner.__getitem__
         for text, chunks in zip(texts, split, strict=True):
+            if text in whole:
+                out.append(array("I", self._ids(text)).tobytes())
+                continue
             first = self.first[chunks[0]]
             del chunks[0]
             try:
@@ -137,6 +143,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder: it and what it remembers outlive a task."""
+    return Encoder(path)
+
+
 def _ranked_bpe(tokenizer) -> Callable | None:
     """A tiktoken encoder of a byte-level vocabulary, if it agrees on a probe."""
     import tiktoken
@@ -157,7 +169,7 @@ def _ranked_bpe(tokenizer) -> Callable | None:
 
 def _tokenise(path: str, context: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), array("I", [end_id]).tobytes()
+        encoder, end = _encoder(path), array("I", [end_id]).tobytes()
         names = ["doc_id", "text_key", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -180,7 +192,7 @@ def _retokenise(path: str, end_id: int) -> Callable:
     """Checksums of the cuts asked for in ``cuts`` (start, length, sequence, offset)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), array("I", [end_id]).tobytes()
+        encoder, end = _encoder(path), array("I", [end_id]).tobytes()
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
@@ -323,13 +335,13 @@ def rounded_places(demand: np.ndarray, capacity: int) -> tuple[list[tuple[int, i
 def ranked(rows: DataFrame, group: str, order: list[str], parts: int = PARTS) -> DataFrame:
     """Adds ``rank`` (from 0) within ``group``, counted in parallel parts: rows of a
     group that holds a third of the table are spread over ``parts`` tasks."""
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = rows.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(group, "__part").orderBy(*order)
-    rows = rows.withColumn("__own", F.row_number().over(inside) - 1)
-    return rows.join(counts, [group, "__part"]).withColumn("rank", F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(group, "part").orderBy(*order)
+    rows = rows.withColumn("own", F.row_number().over(inside) - 1)
+    return rows.join(counts, [group, "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("part", "before", "own")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, context: int = CONTEXT, grid: int = GRID, end_id: int = END_ID) -> DataFrame:
@@ -338,22 +350,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, context: int = CONTEXT,
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     pieces = cut(rows.mapInArrow(_tokenise(path, context, end_id), "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
     key = ["doc_id", "text_key"]
-    tails = pieces.where(F.col("length") < context).withColumn("size", F.ceil(F.col("length") / grid).cast("int"))
-    histogram = {r["size"]: r["n"] for r in tails.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most context / grid rows
+    sized = pieces.withColumn("size", F.ceil(F.col("length") / grid).cast("int"))
+    whole, tails = sized.where(F.col("length") == context), sized.where(F.col("length") < context)
+    counted = sized.groupBy("size", (F.col("length") == context).alias("full")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most context / grid + 1 rows
     demand = np.zeros(context // grid, dtype=np.int64)
-    for size, n in histogram.items():
-        demand[size - 1] = n
+    for r in counted:
+        if not r["full"]:
+            demand[r["size"] - 1] = r["n"]
     places, sequences = rounded_places(demand, context // grid)
+    parts = max(PARTS, sum(r["n"] for r in counted) // PART_ROWS)
 
-    whole = pieces.where(F.col("length") == context)
-    # Sequences of one whole piece have odd ids, the others even ones; only the latter are numbered without gaps.
-    whole = whole.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    # Sequences of one whole piece have odd ids, the others even ones, both without gaps and whatever the files' splits.
+    order = ["doc_id", "text_key", "start"]
+    whole = ranked(whole, "size", order, parts).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
 
     # A row a class and pattern: at most (context / grid) ** 2 by the basis' size.
     table = spark.createDataFrame(places or [(0, 0, 0, 0, 1)], "place_size int, low long, high long, sequence long, share long")
-    dealt = ranked(tails, "size", ["doc_id", "text_key", "start"])
+    dealt = ranked(tails, "size", order, parts)
     dealt = dealt.join(
         F.broadcast(table), (F.col("size") == F.col("place_size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left"
     )
@@ -392,8 +407,8 @@ def _leftovers(docs: DataFrame, left: DataFrame, path: str, context: int, end_id
     parts = parts.select(*key, (F.col("start") + first - F.col("from")).alias("start"), (last - first).alias("length"), "sequence_id", (first - F.col("low")).alias("offset"))
     cuts = parts.groupBy(*key).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    cuts = cuts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    cuts = cuts.withColumnsRenamed({"doc_id": "cut_id", "text_key": "cut_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key"))
     if spots.count() <= MOST_SENT:  # a checked size; the shuffle is for settings with more classes
         cuts = F.broadcast(cuts)
     texts = texts.join(cuts, same).dropDuplicates(key).select("doc_id", "text", "cuts")  # repeated rows share a list of cuts

@@ -138,22 +138,42 @@ def test_near_stage_brute_force(spark, docs):
     assert {r["doc_id"]: r["text"] for r in kept} == {d: texts[d // 3] for d in rows if label[d] == d}
 
 
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "one two<|endoftext|><|endoftext|>\nthree", "<|endoftext> plain"]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    docs = odd_docs(spark, [*ODD, " x\n\n y", "a  b", "the end.\nThe start"])
+    docs = odd_docs(spark, [*ODD, " x\n\n y", "a  b", "the end.\nThe start", *SPECIAL])
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     ids = {r["doc_id"]: np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in docs.collect()}
+    assert len(ids[len(ODD) + 3]) == 5  # "hello", " ", the added token, " world", the end
     pieces = packing.pack(docs).toPandas()
     for doc, mine in pieces.sort_values("start").groupby("doc_id"):
         assert mine["length"].sum() == len(ids[doc]) and list(mine["start"]) == list(mine["length"].cumsum() - mine["length"])
         for p in mine.itertuples():
-            assert zlib.crc32(ids[doc][p.start : p.start + p.length].tobytes()) == p.ids_crc32
+            assert zlib.crc32(ids[doc][p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids[doc])
     for _, mine in pieces.sort_values("offset").groupby("sequence_id"):
         assert mine["length"].sum() <= 2048 and list(mine["offset"]) == list(mine["length"].cumsum() - mine["length"])
     assert set(pieces["doc_id"]) == set(ids)
 
 
+def padding(pieces):
+    used = pieces.groupby("sequence_id")["length"].sum()
+    return sum(0 if n & (n - 1) == 0 else 2048 - n for n in used) / used.sum()
+
+
+def test_packing_pads_little_and_ignores_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(("stone", "river", "the", "of", "blue"), k=rng.choice((3, 40, 300, 2500))))) for i in range(700)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")  # five rows repeat
+    one, two = (packing.pack(docs.repartition(n)).toPandas() for n in (2, 7))
+    order = list(one.columns)
+    assert one.sort_values(order).values.tolist() == two.sort_values(order).values.tolist()
+    assert padding(one) < 0.01 and (one[one["start"] == 0].groupby("doc_id").size() == [2] * 5 + [1] * 695).all()
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
 def test_patterns_fill_sequences():
     demand = np.bincount(np.random.default_rng(2).integers(0, 64, 5000), minlength=64)
     rows, n = packing.rounded_places(demand, 64)
