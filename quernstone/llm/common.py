@@ -40,11 +40,27 @@ def barrier(df: DataFrame, name: str, expr: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(expr)).alias(name))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def nested(df: DataFrame, *columns: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, beside ``columns``: what a join adds
+    can't clash with the names of the input. ``select("row.*")`` gives it back."""
+    return df.select(F.struct("*").alias("row"), *columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where
-    the session names none, as in tests."""
+    """The folder that driver and executors share. A session that names none gets a
+    temporary one where all of it runs on this machine, as in tests, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

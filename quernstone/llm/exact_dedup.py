@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, read_table
+from .common import cut, mix64, nested, read_table
 
 #: Digests a filter holds on average; a filter takes about 2.3 bytes for each.
 BUCKET_KEYS = 1 << 15
@@ -155,10 +155,13 @@ def byte_mismatches(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of groups of several whose text differs from the text that stays."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    several = groups.where("group_size > 1").select("digest", "keep_id").hint("shuffle_hash")
-    members = cut(rows.join(several, "digest"), "dedup-members")
-    stays = members.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays"))
-    return members.join(stays, "digest").where("text <> stays").select("doc_id", "digest", F.md5("text").alias("variant"))
+    several = groups.where("group_size > 1").select("digest", "keep_id")
+    members = cut(rows.join(several, "digest").select("doc_id", "digest", "text", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays")), "dedup-members")
+    # Equal texts have equal least and greatest ones; both combine before the shuffle, so a large group meets as a few rows.
+    ends = members.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    odd = ends.where("least <> most").select("digest")
+    stays = members.where("stays").join(odd, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("stay"))
+    return members.join(stays, "digest").where("text <> stay").select("doc_id", "digest", F.md5("text").alias("variant"))
 
 
 def exact_dedup(docs: DataFrame, in_snapshot: F.Column | None = None) -> DataFrame:
@@ -194,13 +197,14 @@ def exact_dedup(docs: DataFrame, in_snapshot: F.Column | None = None) -> DataFra
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, one row a text."""
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = cut(kept.agg(F.count(F.lit(1)).alias("__n")), "dedup-kept")
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (rows["__sha"] == kept["__sha"])
-    once = rows.join(kept.where("__n = 1").hint("shuffle_hash"), same, "left_semi")
-    again = rows.join(kept.where("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return once.unionByName(again).drop("__sha")
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    kept = cut(kept.agg(F.count(F.lit(1)).alias("n")), "dedup-kept")
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows = nested(docs, F.col("doc_id").alias("row_id"), sha.alias("row_sha"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_sha") == F.col("sha"))
+    once = rows.join(kept.where("n = 1"), same, "left_semi")
+    again = rows.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["row_id", "row_sha"])
+    return once.unionByName(again).select("row.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ range is retained. Sketches of any two texts, however unequal, are comparable an
 merge by union, and containment and likeness are ratios of retained hashes. A
 text with under ``LEAST`` hashes below the threshold keeps its ``LEAST`` least
 ones, or all it has, and is compared below the least threshold of the two, so
-short texts are compared exactly.
+two texts that keep all their hashes are compared exactly.
 
 A fingerprint is the threshold and the sorted hashes in hexadecimal.
 
@@ -81,7 +81,7 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy(*order)
     rows = dealt.withColumn("own", F.lag(me).over(inside))
     # Least in this order: null ids last, so they are the greatest.
-    place = F.struct(F.col("doc_id").isNull().alias("no"), (-F.col("doc_id")).alias("down"), F.col("text_key").alias("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("no"), F.bitwise_not("doc_id").alias("down"), F.col("text_key").alias("key"))
     ends = dealt.groupBy("part").agg(F.max_by(me, place).alias("end"))
     line = Window.orderBy("part")
     last = F.last("end").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -104,11 +104,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = [F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("text_key").alias("k2")]
     back = [F.col("prev_id").isNull().alias("p0"), F.coalesce("prev_id", F.lit(0)).alias("p1"), F.col("prev_key").alias("p2")]
     mine = rows.select("text", *key)  # the same columns on both sides of the last join: one exchange of texts serves both
-    sent = mine.join(near.select(*key, *back, "prev_n").hint("shuffle_hash"), ["k0", "k1", "k2"])
+    sent = mine.join(near.select(*key, *back, "prev_n"), ["k0", "k1", "k2"])
     sent = sent.withColumn("head", F.expr("left(text, cast(floor(prev_n / 3) as int))"))
     sent = sketch_text(sent, "text", "next_sketch", "p0", "p1", "p2", "head")
     sent = sent.withColumnsRenamed({"p0": "k0", "p1": "k1", "p2": "k2"})
-    both = mine.join(sent.hint("shuffle_hash"), ["k0", "k1", "k2"])
+    both = mine.join(sent, ["k0", "k1", "k2"])
     both = both.select(F.when(~F.col("k0"), F.col("k1")).alias("doc_id"), "text", "head", "next_sketch")
 
     both = both.withColumn("n_chars", F.length("text").cast("long"))
@@ -125,11 +125,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged(df: DataFrame, one: str, two: str, name: str) -> DataFrame:
+    """Adds the sketch of both texts' shingles together: what either retains below the lesser threshold."""
+    columns = df.columns
+    df = barrier(df.withColumn("m_at", F.least(f"{one}.limit", f"{two}.limit")), "m_all", F.array_union(f"{one}.hashes", f"{two}.hashes"), *columns, "m_at")
+    kept = F.sort_array(F.filter("m_all", lambda h: h <= F.col("m_at")))
+    return df.select(*columns, F.struct(F.col("m_at").alias("limit"), kept.alias("hashes")).alias(name))
+
+
 def containment(df: DataFrame, small: str, large: str, name: str) -> DataFrame:
-    """Adds the estimated share of ``small``'s shingles that ``large`` has."""
+    """Adds the estimated share of ``small``'s shingles that ``large`` has: 1 for a text
+    without shingles, null where ``small`` retains no hash below the lesser threshold,
+    as then the sketches hold no evidence."""
     at = F.least(f"{small}.limit", f"{large}.limit")
     part = F.filter(f"{small}.hashes", lambda h: h <= at)
-    return df.withColumn(name, F.when(F.size(part) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(part, F.col(f"{large}.hashes"))) / F.size(part)))
+    share = F.size(F.array_intersect(part, F.col(f"{large}.hashes"))) / F.size(part)
+    return df.withColumn(name, F.when(F.size(f"{small}.hashes") == 0, F.lit(1.0)).when(F.size(part) > 0, share))
 
 
 def op5_document_fingerprints(spark, sf_dir: str) -> DataFrame:

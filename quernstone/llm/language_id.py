@@ -1,8 +1,8 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1, drawn from a seed and its code. A
-trigram is bound by multiplying its letters' vectors, the first rolled by two
-places and the second by one; a text bundles (adds) its trigrams' vectors by
+Every letter has a random vector of +1 and -1 of its own, drawn from a seed and its
+code point. A trigram is bound by multiplying its letters' vectors, the first rolled
+by two places and the second by one; a text bundles (adds) its trigrams' vectors by
 count. A language's prototype bundles the unit vectors of its training texts. The
 prediction is the prototype of highest cosine, and the cosine is the score.
 
@@ -11,9 +11,10 @@ doc_id; each is read whole. Vectors are summed where the texts are, and only
 prototypes reach the driver.
 
 Defined results: texts that are null or have no letter get ``und`` and score 0.
-Letters of any script count; they share 63 codes by a fixed hash, A-Z each their
-own. With no training rows everything is ``und``. Each row is judged for itself;
-other columns pass through ``identify`` untouched, whatever their names.
+Letters of any script count. With no training rows everything is ``und``, and
+``with_known_language`` keeps the texts that have a letter. Each row is judged for
+itself; other columns pass through ``identify`` untouched, and the two it adds take
+names that the input does not have.
 """
 
 from __future__ import annotations
@@ -27,60 +28,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, read_table
+from .common import fresh, read_table
 
 WIDTH, SEED = 512, 20240607
 #: Training texts of a language, about, at most.
 SAMPLE = 400
 UNKNOWN = "und"
-_CODES = 64
-#: Trigram vectors a worker holds at once.
-_HELD = 30_000
+#: Trigrams of the first so many letters that a worker meets are remembered.
+_COMMON = 128
+#: Trigram vectors a worker holds at once, and binds at once.
+_HELD, _BOUND = 30_000, 2_000
 
 
 @lru_cache(1)
-def _letter_codes() -> np.ndarray:
-    """Code of each Unicode character: 0 for what is no letter."""
-    points = np.arange(0x110000, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        codes = (27 + mix64(points + np.uint64(SEED)) % np.uint64(_CODES - 27)).astype(np.uint8)
-    for i in range(26):
-        codes[ord("a") + i] = i + 1
-    is_letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), dtype=bool, count=0x110000)
-    return np.where(is_letter, codes, 0).astype(np.uint8)
-
-
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    """Vectors of the letter codes; code 0, the gap between words, has one too."""
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(_CODES, WIDTH))
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), dtype=bool, count=0x110000)
 
 
 class Space:
-    """Vectors of trigrams, made when first met."""
+    """Vectors of letters and of trigrams, made when first met. Which number a letter
+    has depends on the texts met before; its vector does not."""
 
     def __init__(self) -> None:
+        self.number = np.zeros(0x110000, dtype=np.int64)
+        self.letters = self._drawn([0])  # number 0 is the gap between words
         self.clear()
 
+    @staticmethod
+    def _drawn(points: list[int]) -> np.ndarray:
+        signs = np.array([-1, 1], dtype=np.int8)
+        return np.stack([np.random.default_rng([SEED, p]).choice(signs, size=WIDTH) for p in points])
+
     def clear(self) -> None:
-        self.row = np.full(_CODES**3, -1, dtype=np.int32)
+        self.row = np.full(_COMMON**3, -1, dtype=np.int32)
         self.vectors, self.used = np.zeros((1024, WIDTH), dtype=np.float32), 0
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.row[grams] < 0]
-        if self.used + len(new) > _HELD and self.used:
-            self.clear()
-            new = grams
+    def numbers(self, points: np.ndarray) -> np.ndarray:
+        letter = _is_letter()[points]
+        new = np.unique(points[letter & (self.number[points] == 0)])
         if len(new):
-            need = self.used + len(new)
+            self.number[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+            self.letters = np.concatenate([self.letters, self._drawn(new.tolist())])
+        return np.where(letter, self.number[points], 0)
+
+    def bound(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        v = self.letters
+        return (np.roll(v[a], 2, axis=1) * np.roll(v[b], 1, axis=1) * v[c]).astype(np.float32)
+
+    def of(self, grams: np.ndarray, parts: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Vectors of distinct trigrams of common letters."""
+        fresh_ones = self.row[grams] < 0
+        if self.used + fresh_ones.sum() > _HELD and self.used:
+            self.clear()
+            fresh_ones = np.ones(len(grams), dtype=bool)
+        if fresh_ones.any():
+            need = self.used + int(fresh_ones.sum())
             if need > len(self.vectors):
                 grown = np.zeros((max(need, 2 * len(self.vectors)), WIDTH), dtype=np.float32)
                 grown[: self.used] = self.vectors[: self.used]
                 self.vectors = grown
-            v = _letters()
-            bound = np.roll(v, 2, axis=1)[new >> 12] * np.roll(v, 1, axis=1)[(new >> 6) & 63] * v[new & 63]
-            self.vectors[self.used : need] = bound
-            self.row[new] = np.arange(self.used, need)
+            self.vectors[self.used : need] = self.bound(*[p[fresh_ones] for p in parts])
+            self.row[grams[fresh_ones]] = np.arange(self.used, need)
             self.used = need
         return self.vectors[self.row[grams]]
 
@@ -89,13 +97,21 @@ class Space:
         if not text:
             return None
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = _letter_codes()[points].astype(np.int64)
+        codes = self.numbers(points)
         if not codes.any():
             return None
         codes = np.concatenate([[0], codes, [0]])
         codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]  # one gap between words
-        grams, counts = np.unique((codes[:-2] << 12) | (codes[1:-1] << 6) | codes[2:], return_counts=True)
-        return counts.astype(np.float32) @ self.of(grams)
+        grams, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
+        parts = grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF
+        common = np.maximum(np.maximum(*parts[:2]), parts[2]) < _COMMON
+        a, b, c = (p[common] for p in parts)
+        out = counts[common].astype(np.float32) @ self.of((a * _COMMON + b) * _COMMON + c, (a, b, c))
+        rare = np.flatnonzero(~common)
+        for at in range(0, len(rare), _BOUND):
+            some = rare[at : at + _BOUND]
+            out = out + counts[some].astype(np.float32) @ self.bound(*[p[some] for p in parts])
+        return out
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -154,21 +170,27 @@ def _judge(names: list[str], prototypes: np.ndarray, text_at: int) -> Callable:
     return run
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with ``__lang`` and ``__score`` added."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns added, and their names: the language and its score."""
     names = list(model)
     prototypes = np.stack([model[n] for n in names]) if names else np.zeros((0, WIDTH), dtype=np.float32)
     plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     schema = T.StructType([*plain.fields, T.StructField(f"c{len(docs.columns)}", T.StringType()), T.StructField(f"c{len(docs.columns) + 1}", T.DoubleType())])
-    return docs.mapInArrow(_judge(names, prototypes, docs.columns.index("text")), schema).toDF(*docs.columns, "__lang", "__score")
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    judged = docs.mapInArrow(_judge(names, prototypes, docs.columns.index("text")), schema)
+    return judged.toDF(*docs.columns, lang, score), lang, score
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told: those with a letter."""
-    return identify(docs, train(docs)).where(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+    model = train(docs)
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged, lang, _ = identify(docs, model)
+    return judged.where(F.col(lang) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    judged = identify(docs.select("doc_id", "text"), train(docs))
-    return judged.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    judged, lang, score = identify(docs.select("doc_id", "text"), train(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))

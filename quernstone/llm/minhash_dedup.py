@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import barrier, cut, mix64, read_table, word_hashes
+from .common import barrier, cut, mix64, nested, read_table, word_hashes
 from .components import connected_components
 
 SLOTS, ROWS = 128, 4
@@ -195,9 +195,9 @@ def _rest_pairs(entries: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
     reach = n - F.ceil(n * percent / 100).cast("int") + 1 - (n - F.size("g"))
     heads = found.select("id", "component", "n_shingles", "odd", F.explode(F.slice("g", F.lit(1), F.greatest(reach, F.lit(0)))).alias("h"))
     heads = cut(heads.where("h.mixed").select("id", "component", "n_shingles", "odd", "h.shingle"), "near-heads")
-    one = heads.select("shingle", F.col("id").alias("a"), F.col("component").alias("x"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
-    two = heads.select("shingle", F.col("id").alias("b"), F.col("component").alias("y"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
-    return one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sketches_fit(percent)).select("a", "b").distinct()
+    one = heads.select(F.col("shingle").alias("of_a"), F.col("id").alias("a"), F.col("component").alias("x"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
+    two = heads.select(F.col("shingle").alias("of_b"), F.col("id").alias("b"), F.col("component").alias("y"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
+    return one.join(two, (F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sketches_fit(percent)).select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -248,8 +248,9 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def keep_one(docs: DataFrame, width: int = KEEP_WIDTH, percent: int = KEEP_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns."""
-    gone = near_components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    gone = near_components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = nested(docs, F.col("doc_id").alias("row_id"))
+    return rows.join(gone, F.col("row_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, word_array, word_count
+from .common import cut, nested, read_table, word_array, word_count
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Key ranges a source is dealt to.
-RANGES = 256
+#: Key ranges a source is dealt to, at least; more where a range would hold more rows than this.
+RANGES, RANGE_ROWS = 256, 100_000
 _KEY_BITS = 60
 
 
@@ -51,12 +51,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     return rows.drop("__w", "__cap", "__ratio", "__level")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, ranges: int = RANGES) -> DataFrame:
-    """``doc_id, text_key, size, source_size, target, taken`` for every row of ``docs``."""
+def _takes(docs: DataFrame, weights: tuple, cap: int) -> DataFrame:
+    """``doc_id, text_key, source, size, source_size, target, taken`` for every row of ``docs``."""
     group = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", word_count(F.col("text")).alias("size"), hash_key(F.col("doc_id")).alias("key"))
-    rows = rows.withColumn("group", group).withColumn("range", F.shiftright("key", _KEY_BITS - (ranges - 1).bit_length()).cast("int"))
-    rows = cut(rows, "mix-rows")
+    rows = cut(rows.withColumn("group", group), "mix-rows")
+    ranges = max(RANGES, rows.count() // RANGE_ROWS)
+    rows = rows.withColumn("range", F.shiftright("key", _KEY_BITS - (ranges - 1).bit_length()).cast("int"))
     parts = cut(rows.groupBy("group", "range").agg(F.first("source").alias("source"), F.sum("size").alias("n")), "mix-parts")
     before = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("group", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -67,31 +68,65 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, ranges: int =
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(cap).cast("long"), F.floor(budget / F.col("source_size")))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least("size", budget - epochs * F.col("source_size") - F.col("offset") - F.col("start")))
-    return rows.select("doc_id", "text_key", "size", "source_size", "target", (epochs * F.col("size") + rest).cast("long").alias("taken"))
+    return rows.select("doc_id", "text_key", "source", "size", "source_size", "target", (epochs * F.col("size") + rest).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
+    return _takes(docs, weights, cap).drop("text_key", "source")
+
+
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``number`` (from 0) among rows of equal ``key``, counted by parts: a group
+    that holds a third of all rows is spread over the tasks that read it."""
+    rows = cut(rows.withColumn("at", F.monotonically_increasing_id()), "mix-repeated").withColumn("part", F.shiftright("at", 33))
+    counts = rows.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("part").alias("part_"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy(*key, "part").orderBy("at")) - 1
+    same = F.col("part") == F.col("part_")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return rows.withColumn("own", own).join(counts, same).withColumn("number", F.col("before") + F.col("own")).select("row", *key, "number")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once an epoch,
-    and the ones at a budget's cut with their first words only. Rows that repeat
-    doc_id and text are each given the most that one of them takes."""
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    taken = cut(taken.agg(F.max("taken").alias("__taken"), F.max("size").alias("__size")), "mix-taken")
-    rows = docs.withColumn("__tk", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tk") == F.col("__key"))
-    rows = rows.join(taken.hint("shuffle_hash"), same)
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
-    short = words < F.col("__size")
-    text = F.when(short, F.array_join(F.slice(word_array(F.col("text")), 1, words), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    and the ones at a budget's cut with their first words only. Of rows that repeat
+    doc_id, text and source, each is given what one of them takes: their words
+    follow one another in the mix, so they take three different amounts at most."""
+    key = ["id", "text_key", "origin"]
+    takes = _takes(docs, WEIGHTS, CAP).withColumnsRenamed({"doc_id": "id", "source": "origin"})
+    takes = takes.groupBy(*key, "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    takes = takes.groupBy(*key, "size").agg(F.sum("n").alias("n_rows"), F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("amounts"))
+    takes = cut(takes, "mix-taken").where("amounts[0].taken > 0").withColumnsRenamed({k: f"{k}_" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    rows = nested(docs, F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), F.col("source").alias("origin"))
+    once = rows.join(takes.where("n_rows = 1"), same).select("row", "size", F.col("amounts")[0]["taken"].alias("taken"))
+    again = _numbered(rows.join(takes.where("n_rows > 1"), same, "left_semi"), key).join(takes, same)
+    # The amount of the first entry whose running count passes the number.
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("taken"))
+    pick = F.aggregate(
+        "amounts", start,
+        lambda acc, a: F.struct((acc["seen"] + a["n"]).alias("seen"), F.when(acc["taken"].isNull() & (F.col("number") < acc["seen"] + a["n"]), a["taken"]).otherwise(acc["taken"]).alias("taken")),
+        lambda acc: acc["taken"],
+    )
+    rows = once.unionByName(again.select("row", "size", pick.alias("taken")))
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = rows.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    short = words < F.col("size")
+    text = F.when(short, F.array_join(F.slice(word_array(F.col("row.text")), 1, words), " ")).otherwise(F.col("row.text"))
+    made = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(short, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("text_key")
+    return mix(read_table(spark, sf_dir, "documents"))
 
 
 OP9_SQL = r"""

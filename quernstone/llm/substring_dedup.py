@@ -185,14 +185,14 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) ->
         F.min("first").alias("least"), F.max("last").alias("most"), F.max("first").alias("latest")
     ).where("least < most").select("anchor", (F.col("least") < F.col("latest")).alias("differs"))
     shared = kinds.join(anchors, "anchor").select("anchor", "content", "first", "differs").where("first < last OR differs")
-    met = cut(stretches.join(shared.hint("shuffle_hash"), ["anchor", "content"]), "repeat-met")
+    met = cut(stretches.join(shared, ["anchor", "content"]), "repeat-met")
 
     whole = met.where("doc_id > first").select("doc_id", "text_key", "start", (F.col("windows") + (span - 1)).alias("length"))
 
     asked = met.where("doc_id = first AND differs").groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "windows", "anchor")).alias("wanted")
     )
-    texts = rows.join(asked.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted")
+    texts = rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted")
     windows = cut(texts.mapInArrow(_single_windows(span), WINDOWS), "repeat-windows")
     earliest = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     single = windows.join(earliest, ["anchor", "window"]).where("doc_id > first")
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, with
     """``doc_id, n_words, n_removed, kept_sha256, spans`` (and ``kept_text``) for every row."""
     runs = repeated_windows(docs, span, anchor)
     spans = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-    spans = cut(spans, "repeat-spans").hint("shuffle_hash")
+    spans = cut(spans, "repeat-spans")
     rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     joined = rows.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "found")

@@ -9,7 +9,7 @@ weight. A logistic regression over words and word beginnings is then trained on
 the model's posterior labels, and it alone scores documents.
 
 Training reads at most about ``SAMPLE`` labelled rows of each class, by a hash of
-doc_id, from rows outside the held-out fifth. The chosen labels are broadcast, so
+doc_id, from rows outside the held-out fifth, and at most ``MOST_WORDS`` features of each. The chosen labels are broadcast, so
 no text is shuffled. Everything else covers all rows.
 
 Defined results: null, empty and wordless texts get the score of no feature.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,8 @@ SAMPLE = 1500
 #: Pattern voters and classifier features at most.
 MOST_VOTERS, MOST_FEATURES = 120, 600
 BEGINNING = 4
+#: Features of a training text that are read, at most: the sample is bounded in bytes, too.
+MOST_WORDS = 5_000
 SHRINK = 0.0005
 #: Votes of voters that correlate more than this, given the label, are shared.
 TIED = 0.3
@@ -54,17 +57,38 @@ def features(text: str | None) -> set[str]:
     return words | {w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING}
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [features(t) for t in batch.column(2).to_pylist()]
+        kept = [sorted(f) if len(f) <= MOST_WORDS else sorted(sorted(f, key=lambda w: zlib.crc32(w.encode()))[:MOST_WORDS]) for f in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string()))], names=["doc_id", "toxic", "found"])
+
+
+def _surely_tied(toxic: Counter, clean: Counter, n1: float, n0: float) -> dict[str, float]:
+    """Log-likelihood ratios of features commoner on toxic rows than chance explains:
+    beyond what the best of so many unrelated features would reach (twice the logarithm of their number)."""
+    often = {f: k for f, k in toxic.items() if k + clean[f] >= 3}
+    least, share, found = 2 * math.log(max(2, sum(k + toxic[f] >= 3 for f, k in clean.items()) + len(often))), n1 / (n1 + n0), {}
+    for f, k in often.items():
+        n = k + clean[f]
+        g = 2 * (k * math.log(k / (n * share)) + (clean[f] * math.log(clean[f] / (n * (1 - share))) if clean[f] else 0))
+        if k > 2 * n * share and g > least:
+            found[f] = g
+    return found
+
+
 def choose_voters(sets: list[set[str]], labels: np.ndarray) -> list[str]:
     """The lexicon, and features far commoner on toxic rows than on clean ones."""
     toxic, clean = Counter(), Counter()
     for found, label in zip(sets, labels, strict=True):
         (toxic if label else clean).update(found)
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+    tied = _surely_tied(toxic, clean, n1, n0)
     ranked = []
-    for f, k in toxic.items():
-        ratio = math.log((k + 0.5) / n1) - math.log((clean[f] + 0.5) / n0)
-        if k >= max(3, n1 // 200) and ratio > 2:
-            ranked.append((k * ratio, f))
+    for f in tied:
+        ratio = math.log((toxic[f] + 0.5) / n1) - math.log((clean[f] + 0.5) / n0)
+        if ratio > 2:
+            ranked.append((toxic[f] * ratio, f))
     patterns = [f for _, f in sorted(ranked, reverse=True)[:MOST_VOTERS]]
     return [*LEXICON, *(p for p in patterns if p not in LEXICON)]
 
@@ -103,13 +127,14 @@ def fit_linear(sets: list[set[str]], target: np.ndarray, steps: int = 400) -> di
             toxic.update(found)
     n1 = max(1, int((target > 0.5).sum()))
     # Only features tied to the label: a long clean text would add up the noise of others.
-    tie = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((all_rows[f] - k + 0.5) / (n - n1 + 1)) for f, k in toxic.items() if k >= 3}
+    sure = _surely_tied(toxic, all_rows - toxic, n1, max(1, n - n1))
+    tie = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((all_rows[f] - k + 0.5) / (n - n1 + 1)) for f, k in toxic.items() if f in sure or f in LEXICON}
     score = {f: toxic[f] * t for f, t in tie.items() if t > 2}
     names = sorted(score, key=lambda f: (-score[f], f))[:MOST_FEATURES]
     index = {f: i for i, f in enumerate(names)}
     rows, cols = [], []
     for i, found in enumerate(sets):
-        mine = [index[f] for f in found if f in index]
+        mine = sorted(index[f] for f in found if f in index)
         cols += mine
         rows += [i] * len(mine)
     rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
@@ -134,9 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)
     chosen = usable.where(chance < share)  # about 2 * sample rows at most, whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    order = ["doc_id", F.xxhash64("text"), "toxic"]
-    got = rows.orderBy(*order).limit(4 * sample).collect()  # the limit binds only where doc_ids repeat
-    sets, y = [features(r["text"]) for r in got], np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
+    # Features are found where the texts are; of a text, the MOST_WORDS least by a hash reach the driver.
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(_found, "doc_id long, toxic int, found array<string>")
+    got = found.orderBy("doc_id", F.xxhash64("found"), "toxic").limit(4 * sample).collect()  # the limit binds only where doc_ids repeat
+    sets, y = [set(r["found"]) for r in got], np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
     if not got or not y.any():
         return {"": -3.0} | dict.fromkeys(LEXICON, 4.0)
     voters = choose_voters(sets, y)

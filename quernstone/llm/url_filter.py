@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read_table
+from .common import ascii_lower, barrier, cut, read_table
 from .components import connected_components
 
 RULES = (
@@ -26,10 +26,18 @@ RULES = (
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
 
-_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What a reader of the page skips: comments, and the insides of scripts, styles and templates.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript)\b.*?(?:</\1\s*>|\z)"
+#: A tag: quoted values may hold angle brackets.
+_TAG = r"(?is)<(?:link|meta)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_TO = r"(?is)^[\s\d.;,]*url\s*=\s*[\"']?([^\"'\s>]+)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; other attributes' values and longer names don't count."""
+    before = r"(?is)^<\w+(?:[\s/]+(?!" + name + r"\s*=)[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*[\s/]+" + name + _VALUE
+    return F.trim(F.concat(*[F.regexp_extract(tag, before, i) for i in (1, 2, 3)]))
 
 
 def host_of(url: Column) -> Column:
@@ -72,12 +80,19 @@ def _key(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """``a, b``: pairs of urls that stand for one another."""
-    html = F.coalesce("html", F.lit(""))
-    tags = pages.where(F.col("url").contains("://")).select(
-        "url", F.explode(F.array(F.regexp_extract(F.regexp_extract(html, _TAG, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _META, 0), _TO, 1))).alias("to")
-    )
-    edges = tags.where("to <> ''").select(_key(F.col("url")).alias("a"), _key(_resolved(F.col("to"), F.col("url"))).alias("b"))
+    """``a, b``: pairs of urls that stand for one another, by every canonical link and refresh of a page."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), _HIDDEN, " ")
+    tags = pages.where(F.col("url").contains("://")).select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))).alias("tag"))
+    named = F.struct(
+        (F.lower(F.substring("tag", 2, 4)) == "link").alias("link"), F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+").alias("rel"),
+        _attribute(F.col("tag"), "href").alias("href"), F.lower(_attribute(F.col("tag"), "http-equiv")).alias("equiv"), _attribute(F.col("tag"), "content").alias("content"),
+    )
+    tags = barrier(tags, "t", named, "url")
+    canonical = F.col("t.link") & F.array_contains("t.rel", "canonical")
+    refresh = ~F.col("t.link") & (F.col("t.equiv") == "refresh")
+    tags = barrier(tags.where(canonical | refresh), "to", F.when(canonical, F.col("t.href")).otherwise(F.regexp_extract("t.content", _TO, 1)), "url").where("to <> ''")
+    tags = barrier(tags, "full", _resolved(F.col("to"), F.col("url")), "url")
+    edges = tags.select(_key(F.col("url")).alias("a"), _key(F.col("full")).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(_key(F.col("from_url")).alias("a"), _key(F.col("to_url")).alias("b")))
     return edges.where("a <> b").distinct()
@@ -91,7 +106,11 @@ def judge(pages: DataFrame, rules: tuple = RULES, redirects: DataFrame | None =
     blocked = members.join(bad, "component", "left_semi").select("node", F.lit(True).alias("by_alias"))
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("own", best_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("node", F.when(F.col("own").isNull(), _key(F.col("url")))).join(blocked, "node", "left")
+    # Only urls without a rule of their own look for aliases; the others, and null urls, take no part in the join.
+    asks = F.col("own").isNull() & F.col("url").contains("://")
+    ruled = rows.where(~F.coalesce(asks, F.lit(False))).withColumn("by_alias", F.lit(None).cast("boolean"))
+    open_rows = rows.where(asks).withColumn("node", _key(F.col("url"))).join(blocked, "node", "left").drop("node")
+    rows = ruled.unionByName(open_rows)
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("by_alias"), F.lit("block")), F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
 
