@@ -99,7 +99,7 @@ class Encoder:
             self._learn(self.first, {x for p in whole.values() for x in p[1:]}, "")
             brk = array("I", [self.line]).tobytes()
             memory.update((c, memory[p[0]] + b"".join([brk + self.first[x] for x in p[1:]])) for c, p in whole.items())
-            new.difference_update(memory)
+            new = new.difference(memory)  # difference_update would walk the whole memory
             lines = [c for c in lines if c not in whole]
         plain = [c for c in new if c.strip() is c and c] if self.fast else []
         if plain:
