@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sequences
+from . import relations, sequences
 from .functions import text as text_functions
 from .operators import graph, selection, similarity
 from .plans import queries as plans
@@ -116,8 +116,8 @@ OPERATORS_SQL = {
 
 
 def queries() -> dict:
-    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES
+    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL
+    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL
