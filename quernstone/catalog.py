@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import relations, sequences
+from . import gates, orders, relations, sequences
 from .functions import text as text_functions
 from .operators import graph, selection, similarity
 from .plans import queries as plans
@@ -105,6 +105,7 @@ _FAMILIES = _GRAMS + r""",
  f AS (SELECT w.doc_id, w.norm, min(r.c) AS family FROM w JOIN r ON r.d = w.doc_id GROUP BY ALL),
  q AS (SELECT family, CAST(CAST(('0x' || substring(sha256('quern-1' || chr(0) || string_agg(sha256(norm), ',' ORDER BY sha256(norm))), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS DOUBLE) / 18446744073709551616.0 AS u FROM f GROUP BY family),
  z AS (SELECT f.doc_id, f.family, CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.95 THEN 'validation' ELSE 'test' END AS split FROM f JOIN q USING (family))"""
+_LONGEST = f"SELECT item_id, max(CASE WHEN n_found > 0 THEN n END) AS longest, max(rate) AS best_rate FROM ({plans.ngram_overlap(Duck)}) o GROUP BY item_id"
 OPERATORS_SQL = {
     "near_dup_matches": _GRAMS + """ SELECT x AS left_id, y AS right_id, CASE WHEN 5 * k >= 4 * u THEN 'shingle_jaccard' ELSE 'shingle_containment' END AS metric,
       CASE WHEN 5 * k >= 4 * u THEN k / u ELSE k / l END AS score FROM m""",
@@ -116,8 +117,8 @@ OPERATORS_SQL = {
 
 
 def queries() -> dict:
-    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES
+    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES | gates.QUERIES | orders.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL
+    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL | gates.SQL | {"longest_overlap": _LONGEST}

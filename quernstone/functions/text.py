@@ -27,6 +27,14 @@ def shingles(words_column: Column, width: int) -> Column:
     return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array(F.array_join(words_column, " ")))
 
 
+def ngram_hashes(words_column: Column, width: Column) -> Column:
+    """Distinct runs of ``width`` words, each as two 64-bit hashes, made in the array: no string leaves it.
+    A text with fewer words has none. Give stored columns: they are read once a run."""
+    run = lambda i: F.slice(words_column, i, width)
+    hashed = F.transform(F.sequence(F.lit(1), F.size(words_column) - width + 1), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.xxhash64(run(i), width).alias("h2")))
+    return F.when(F.size(words_column) >= width, F.array_distinct(hashed))
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode NFC with line breaks as LF, trimmed; Spark has no such function of its own."""

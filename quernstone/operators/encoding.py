@@ -69,16 +69,16 @@ def stride_rows(sequences: DataFrame, group: str, order: str, width: int) -> Dat
     return rows.select(group, "row", whole("i").alias("ids"), whole("m").alias("mask")).where(F.size("ids") == width)
 
 
-def with_offsets(rows: DataFrame, group: str, order: str, value: str, out: str, parts: int = 256) -> DataFrame:
+def with_offsets(rows: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
     """Adds the sum of ``value`` over the rows before in the group, by ``order`` (an
-    integer): ranges of it are summed apart, so a group that is most of the table is spread over tasks."""
+    integer) and ``ties``: ranges of it are summed apart, so a group that is most of the table is spread over tasks."""
     ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     lo, width = (ends["lo"] or 0), max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // parts + 1)
     ranged = rows.withColumn("range_no", F.expr(f"(`{order}` - {lo}L) div {width}L"))
     sums = ranged.groupBy(group, "range_no").agg(F.sum(value).alias("range_sum"))
     before = Window.partitionBy(group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("group_"), F.col("range_no").alias("range_"), F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("before_"))
-    inside = Window.partitionBy(group, "range_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, "range_no").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.withColumn("inside_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = joined.join(sums, F.col(group).eqNullSafe(F.col("group_")) & (F.col("range_no") == F.col("range_")))
     return joined.withColumn(out, (F.col("before_") + F.col("inside_")).cast("long")).drop("group_", "range_", "before_", "inside_", "range_no")

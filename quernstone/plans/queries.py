@@ -16,7 +16,7 @@ def _priority(d, key):
     return d.sha(f"concat('{SEED}', {d.nul()}, cast({key} as string))")
 
 
-def split_assign(d):  # SPL-1, SPL-6
+def split_assign(d):  # SPL-1
     return f"""select doc_id, case when f < 0.9 then 'train' when f < 0.95 then 'validation' else 'test' end as split
     from (select doc_id, {_fraction(d, 'doc_id')} as f from {d.table('documents')}) x"""
 
@@ -92,7 +92,7 @@ def stanza_counts(d):  # XFN-12
 
 def ngram_overlap(d):  # AGG-10, JOIN-13
     one = []
-    for n in (1, 2, 3, 5, 8, 12):
+    for n in range(1, 13):
         grams = lambda t, k: f"select distinct {k}, g from (select {k}, {d.explode(d.ngrams('w', n))} as g from (select {k}, {d.words('text')} as w from {d.table(t)}) a) b"  # noqa: B023, E731
         one.append(f"""select item_id, {n} as n, count(*) as n_grams, count(r.g) as n_found from ({grams('benchmark', 'item_id')}) c
           left join (select distinct g from ({grams('documents', 'doc_id')}) x) r on r.g = c.g group by item_id""")
@@ -123,7 +123,7 @@ def duplicate_assistant(d):  # FLT-6
     return f"""select conv_id, count(*) as n_answers, count(distinct text) < count(*) as repeated from {d.table('conversations')} where role = 'assistant' group by conv_id"""
 
 
-def line_runs(d):  # AGG-1, WIN-11: gaps and islands
+def line_runs(d):  # AGG-1: gaps and islands
     # Numbers of a conversation with over 1,000 runs reach into the next one's; the checking SQL is left as it is.
     key = "conv_id, role, run" if d.name == "spark" else "role, run"
     return f"""select role, cast(run as bigint) as run, min(seq) as first_seq, count(*) as n_lines, {d.sha(d.ordered('seq', 'text', 'chr(10)'))} as joined from (
@@ -182,7 +182,7 @@ def fair_schedule(d):  # STM-2, WIN-10: exact integer cross products for weights
         select doc_id, lang, {d.size(d.tokens('text'))} as n from {d.table('documents')}) a) b"""
 
 
-def exposure_plan(d):  # STM-4, STM-3
+def exposure_plan(d):  # STM-4
     return f"""select min(step) as steps, cast(min(total) as bigint) as tokens from (select step, sum(n) over (order by step rows unbounded preceding) as total from (
       select f.step, {d.size(d.tokens('o.text'))} as n from ({fair_schedule(d)}) f join {d.table('documents')} o on o.doc_id = f.doc_id) a) b where total >= 100000"""
 
@@ -223,12 +223,12 @@ def weighted_loss(d):  # AGG-14
     return f"""select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) as loss, round(exp(least(sum(l_discount * l_quantity) / sum(l_quantity), 80)), 9) as perplexity from {d.table('lineitem')} group by l_returnflag"""
 
 
-def blind_assign(d):  # PLN-5, JOIN-15
+def blind_assign(d):  # PLN-5
     h = d.u28(d.sha(f"concat('{SEED}', {d.nul()}, cast(item_id as string))"))
     return f"select item_id, case when {h} % 2 = 0 then 'A' else 'B' end as side from {d.table('benchmark')}"
 
 
-def criterion_tally(d):  # AGG-11, JOIN-16
+def criterion_tally(d):  # AGG-11
     picks = " union all ".join(f"select '{c}' as criterion, {e} as choice from {d.table('labels')}" for c, e in (("quality", "case quality when 1 then 'a' else 'b' end"), ("toxic", "case toxic when 1 then 'b' when 0 then 'a' else 'tie' end")))
     return f"select criterion, count(case when choice = 'a' then 1 end) as wins_a, count(case when choice = 'b' then 1 end) as wins_b, count(case when choice = 'tie' then 1 end) as ties from ({picks}) p group by criterion"
 
@@ -250,7 +250,7 @@ def token_estimate(d):  # XFN-21
     return f"select doc_id, {d.div(d.bytes('text') + ' + 2', '3')} + 256 as estimate from {d.table('documents')}"
 
 
-def snapshot_turning(d):  # WIN-12, WIN-13
+def snapshot_turning(d):  # differences of neighbours
     return f"""select user_id, event_id, round(next1 - value, 6) as velocity, round(next2 - 2 * next1 + value, 6) as acceleration from (
       select user_id, event_id, value, lead(value, 1) over w as next1, lead(value, 2) over w as next2 from {d.table('events')} window w as (partition by user_id order by ts, event_id)) a where next2 is not null"""
 
@@ -260,11 +260,11 @@ def prefix_rollup(d):  # AGG-17
       select 1 as scope, substr(p_type, 1, 3) as name, p_retailprice from {d.table('part')} union all select 2, p_type, p_retailprice from {d.table('part')} union all select 0, '', p_retailprice from {d.table('part')}) a group by scope, name"""
 
 
-def lane_assignment(d):  # TOP-4, XFN-20
+def lane_assignment(d):  # TOP-4
     return f"select doc_id, case when doc_id % 6 < 3 then 'a' when doc_id % 6 < 5 then 'b' else 'c' end as lane from {d.table('documents')}"
 
 
-def rights_gate(d):  # GOV-1, GOV-2, PRJ-4
+def rights_gate(d):  # GOV-1
     return f"""select source, rights, count(*) as n, rights <> 'denied' as passes from (select source, case when source = 'src3' then 'denied' when source = 'src5' then 'synthetic' else 'unknown' end as rights from {d.table('documents')}) a group by source, rights"""
 
 
