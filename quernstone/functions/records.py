@@ -37,9 +37,9 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, index, start_char, end_char, block``: runs of lines without a blank one, with their
     places (0-based code points); a text without any is one block."""
     spans = F.regexp_extract_all(F.col(text), F.lit(r"(?s)((?:[^\n]*\S[^\n]*(?:\n|\z))+|(?:[^\n\S]*\n)+|[^\n\S]+\z)"), F.lit(1))
-    rows = docs.select(key, text, F.posexplode(spans).alias("i", "span"), spans.alias("all_"))
-    before = F.aggregate(F.slice("all_", F.lit(1), F.col("i")), F.lit(0), lambda acc, s: acc + F.length(s))
-    body = F.regexp_replace("span", r"\n\z", "")
+    rows = docs.select(key, text, F.posexplode(spans).alias("span_no_", "span_"), spans.alias("all_"))
+    before = F.aggregate(F.slice("all_", F.lit(1), F.col("span_no_")), F.lit(0), lambda acc, s: acc + F.length(s))
+    body = F.regexp_replace("span_", r"\n\z", "")
     rows = rows.select(key, before.alias("start_char"), body.alias("block")).where(F.trim(F.regexp_replace("block", r"\s+", " ")) != "")
     return rows.withColumn("end_char", F.col("start_char") + F.length("block"))
 

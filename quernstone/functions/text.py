@@ -27,12 +27,14 @@ def shingles(words_column: Column, width: int) -> Column:
     return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array(F.array_join(words_column, " ")))
 
 
-def ngram_hashes(words_column: Column, width: Column) -> Column:
-    """Distinct runs of ``width`` words, each as two 64-bit hashes, made in the array: no string leaves it.
-    A text with fewer words has none. Give stored columns: they are read once a run."""
-    run = lambda i: F.slice(words_column, i, width)
-    hashed = F.transform(F.sequence(F.lit(1), F.size(words_column) - width + 1), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), F.xxhash64(run(i), width).alias("h2")))
-    return F.when(F.size(words_column) >= width, F.array_distinct(hashed))
+def ngram_hashes(word_hashes: Column, width: int) -> Column:
+    """Runs of ``width`` entries of an array of word hashes, each as two 64-bit hashes.
+    Neighbours are zipped from slices of the whole array, so the work is linear in its
+    length; repeats are left in, as structs would be compared pair by pair to drop them."""
+    n = F.greatest(F.size(word_hashes) - (width - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(word_hashes, i + 1, n).alias(f"w{i}") for i in range(width)])
+    run = lambda s: [s[f"w{i}"] for i in range(width)]
+    return F.transform(zipped, lambda s: F.struct(F.xxhash64(*run(s)).alias("h"), F.xxhash64(F.lit(width), *run(s)).alias("h2")))
 
 
 @F.pandas_udf(T.StringType())

@@ -102,8 +102,9 @@ def order_faults(rows: DataFrame, order: str, key: str, parts: str) -> DataFrame
 def _signed(rows: DataFrame, tag: str) -> DataFrame:
     """``sid, norm, n, set`` of each distinct normalised text of ``id, text``; shingles are hashed where they are made."""
     norm = rows.select("id", F.array_join(words(F.coalesce(F.col("text"), F.lit(""))), " ").alias("norm")).groupBy("norm").agg(F.min("id").alias("sid"))
-    grams = F.array_distinct(F.transform(shingles(F.split("norm", " "), WIDTH), lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.reverse(g)).alias("h2"))))
-    return stored(norm.select("sid", "norm", grams.alias("set")).withColumn("n", F.size("set")), tag)
+    # Longs, as sets of structs would be compared pair by pair.
+    grams = F.transform(shingles(F.split("norm", " "), WIDTH), lambda g: F.xxhash64(g))
+    return stored(norm.select("sid", "norm", F.explode(F.array(grams)).alias("set")).select("sid", "norm", F.array_distinct("set").alias("set")).withColumn("n", F.size("set")), tag)
 
 
 def _heads(sets: DataFrame, df: DataFrame) -> DataFrame:

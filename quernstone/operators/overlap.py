@@ -15,9 +15,16 @@ from ..plans.tables import stored
 
 
 def grams(rows: DataFrame, key: str, text: str, widths: tuple[int, ...]) -> DataFrame:
-    """``key, n, h, h2``: the distinct n-grams of each text, for all widths from one reading."""
-    spread = rows.select(key, words(F.col(text)).alias("w"), F.explode(F.array(*map(F.lit, widths))).alias("n"))
-    return spread.select(key, "n", F.explode(ngram_hashes(F.col("w"), F.col("n"))).alias("g")).select(key, "n", "g.h", "g.h2")
+    """``key, n, h, h2``: the n-grams of each text, repeats included; texts are read once for all widths."""
+    hashed = F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+    base = rows.select(key, F.explode(F.array(hashed)).alias("w"))  # a column of its own: texts are taken apart once
+    if len(widths) > 1:
+        base = stored(base, "overlap-words")
+    out = None
+    for n in widths:
+        part = base.select(key, F.lit(n).alias("n"), F.explode(ngram_hashes(F.col("w"), n)).alias("g")).select(key, "n", "g.h", "g.h2")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def overlap_rates(items: DataFrame, key: str, corpus: DataFrame, text: str, widths: tuple[int, ...] = tuple(range(1, 13))) -> DataFrame:
