@@ -379,3 +379,21 @@ def test_pipeline_runs(spark, sf_dir):
 
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_components_brute_force(spark):
+    rng = random.Random(11)
+    path = [(i, i + 1) for i in range(1000, 1060)]
+    mixed = [(i * 37 % 61 + 2000, (i + 1) * 37 % 61 + 2000) for i in range(60)]
+    hub = [(3000 + rng.randrange(5), 3100 + i) for i in range(300)]
+    for edges in (path + mixed + hub, [(rng.randrange(400), rng.randrange(400)) for _ in range(260)], [(5, 4), (4, 5), (5, 3)]):
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            before = dict(least)
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+            if least == before:
+                break
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        rows = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert len(rows) == len(linked) and dict(rows) == {x: least[x] for x in linked}
