@@ -200,6 +200,21 @@ def _rest_pairs(entries: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
     return one.join(two, (F.col("of_a") == F.col("of_b")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sketches_fit(percent)).select("a", "b").distinct()
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links with each end replaced by its component so far; a node without one is its own."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    both = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    return both.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after ``more``, labels of its components and of nodes new to it, joined some of them."""
+    root = more.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return old.unionByName(more.join(labels.select("node"), "node", "left_anti"))
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     rows = cut(docs.select("doc_id", "text").mapInArrow(lambda batches: _describe(batches, width), SIGNATURES), "near-signatures")
@@ -223,20 +238,18 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         found = entries.join(labels.withColumnRenamed("node", "id"), "id", "left")
         return cut(found.select("id", "bucket", F.coalesce("component", "id").alias("component")), "near-labelled")
 
-    links = labels = None
+    labels = None
     for turn in range(TURNS + 1):
         state = entries.withColumn("component", F.col("id")) if labels is None else labelled(labels)
         if turn < TURNS:
             pairs = _described(_star_pairs(state, turn), about).where(_sketches_fit(percent)).select("a", "b")
         else:
             pairs = _rest_pairs(state, about, sets, percent)
-        found = cut(_linked(pairs, sets, percent), "near-links")
-        if turn and found.isEmpty():
-            if turn < TURNS:
-                continue
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "a", "b")
+        links = cut(_linked(pairs, sets, percent), "near-links")
+        if labels is None:
+            labels = connected_components(links, "a", "b")
+        elif not links.isEmpty():
+            labels = _merged(labels, connected_components(_between(links, labels), "a", "b"))
 
     components = nodes.select(*node, "id").join(labels, F.col("id") == F.col("node"), "left").select(*node, F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", *node).join(components, node, "left")
