@@ -7,6 +7,7 @@ from . import (
     fingerprints,
     language_id,
     license_scan,
+    merkle_manifest,
     minhash_dedup,
     mixing,
     packing,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+        "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict:
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op10_minhash_dedup": minhash_dedup.OP10_SQL,
+        "op12_merkle_manifest": merkle_manifest.OP12_SQL,
     }
