@@ -30,7 +30,8 @@ def sf_dir():
 
 def rows_of(frame, columns):
     frame = frame[columns].astype(object)
-    return sorted(tuple(None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.itertuples(index=False, name=None))
+    rows = (tuple(None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.itertuples(index=False, name=None))
+    return sorted(rows, key=lambda r: [(x is not None, 0 if x is None else x) for x in r])
 
 
 @pytest.fixture(scope="session")
