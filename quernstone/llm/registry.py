@@ -11,6 +11,8 @@ from . import (
     minhash_dedup,
     mixing,
     packing,
+    piece_encoding,
+    spelling_variants,
     substring_dedup,
     toxicity,
     url_filter,
@@ -29,7 +31,9 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_mixing": mixing.op9_mixing,
         "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+        "op11_piece_encoding": piece_encoding.op11_piece_encoding,
         "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+        "op13_spelling_variants": spelling_variants.op13_spelling_variants,
     }
 
 
@@ -40,4 +44,5 @@ def oracle_sql() -> dict:
         "op9_mixing": mixing.OP9_SQL,
         "op10_minhash_dedup": minhash_dedup.OP10_SQL,
         "op12_merkle_manifest": merkle_manifest.OP12_SQL,
+        "op13_spelling_variants": spelling_variants.OP13_SQL,
     }
