@@ -2,32 +2,23 @@
 
 A text is normalised by the model's compiled character map: at each place the
 longest key of its trie that fits is replaced, other characters stay. Every
-normalised character records the byte of the source it came from. The normalised
-text is segmented by the model's merges, and the cuts between pieces are carried
-back through that record, so each piece has the span of source bytes it stands for.
-Spans follow one another without gap from the first byte to the last. A character
-that the vocabulary lacks becomes one piece a byte, of which the last has the
-character's span and the others are empty before it.
-
-Merges never cross a place that no piece of the vocabulary spans. Texts are cut
-there first: before spaces by a pattern, and between characters that stand beside
-each other in no piece. What the words between spaces become is remembered by the
-worker, so few words are merged at all.
-
-Models are of type BPE with byte fallback, and their pieces are plain, bytes or
-marks; others are refused. Defined results: a null text is empty and has the begin
+normalised character records the byte of the source it came from. The library
+segments the normalised text, with its own normalising switched off, and the cuts
+between pieces are carried back through that record, so each piece has the span of
+source bytes it stands for. Spans follow one another without gap from the first byte
+to the last. A character that the vocabulary lacks becomes one piece a byte, of which
+the last has the character's span and the others are empty before it.
+
+Models without byte fallback are refused. Defined results: a null text is empty and has the begin
 and end ids alone. Rows that repeat an id are encoded each for itself. Texts are
 encoded whole. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 SPACE = "▁"
-#: Words a worker remembers, and the letters of the longest one; the memory is emptied beyond it.
-REMEMBERED, LONGEST = 400_000, 48
 #: Kinds of pieces, as model files number them.
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+CONTROL, BYTE = 3, 6
 
 
 def default_model() -> str:
@@ -128,20 +117,7 @@ class Normaliser:
         return "".join(out), np.array([*origin, end if out else 0], dtype=np.int64)
 
 
-# -- merging ----------------------------------------------------------------------
-
-
-class _Words(dict):
-    """Ids and widths of words, made when first asked for."""
-
-    def __init__(self, made) -> None:
-        self.made = made
-
-    def __missing__(self, word: str):
-        found = self.made(word)
-        if len(word) <= LONGEST:
-            self[word] = found
-        return found
+# -- segmenting ---------------------------------------------------------------------
 
 
 class Encoder:
@@ -150,80 +126,40 @@ class Encoder:
 
         self.library = SentencePieceProcessor(model_file=path)
         model = sentencepiece_model_pb2.ModelProto.FromString(self.library.serialized_model_proto())
-        spec, rules = model.trainer_spec, model.normalizer_spec
-        kinds = {p.type for p in model.pieces}
-        if spec.model_type != spec.BPE or not spec.byte_fallback or not kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE} or spec.treat_whitespace_as_suffix:
-            raise ValueError(f"{path} is no BPE model with byte fallback and plain pieces")
+        rules = model.normalizer_spec
+        if not model.trainer_spec.byte_fallback or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path} has no byte fallback, or spaces at the ends of its pieces")
         self.normalise = Normaliser(rules.precompiled_charsmap, rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces)
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
-        self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # The model's pieces and merges over text that is normalised already.
+        rules.Clear()
+        rules.name, rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces = "identity", False, False, False
+        self.segments = SentencePieceProcessor(model_proto=model.SerializeToString())
+        unit = [int(p.piece[1:-1], 16) if p.type == BYTE else -1 for p in model.pieces]
+        self.is_byte = np.array([u >= 0 for u in unit])
+        self.is_later = np.array([u >= 0 and u & 0xC0 == 0x80 for u in unit])  # a byte that goes on with a character
+        self.letters = np.array([0 if p.type in (BYTE, CONTROL) else len(p.piece) for p in model.pieces], dtype=np.int64)
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
-        inner = any(pair[1] == SPACE != pair[0] for pair in self.beside)
-        self.word = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.words = _Words(self._encoded)
-
-    def _merged(self, text: str) -> list[str]:
-        """Pieces of a text: of all neighbours that join to a piece, the best goes first, the leftmost of equals."""
-        parts = list(text)
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-
-        def offer(i: int) -> tuple[float, int, str] | None:
-            j = after[i]
-            joined = parts[i] + parts[j] if 0 <= i and j < len(parts) else ""
-            return (-self.scores[joined], i, joined) if joined in self.scores else None
-
-        heap = [x for x in map(offer, range(len(parts) - 1)) if x]
-        heapify(heap)
-        while heap:
-            _, i, joined = heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != joined:
-                continue  # one of the two has changed since
-            parts[i], parts[j] = joined, ""
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (x := offer(k)):
-                    heappush(heap, x)
-        return [p for p in parts if p]
-
-    def _encoded(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids, and how many normalised characters each stands for."""
-        ids: list[int] = []
-        widths: list[int] = []
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.beside), len(word)]
-        for start, stop in zip(cuts, cuts[1:], strict=False):
-            for piece in self._merged(word[start:stop]):
-                if piece in self.ids:
-                    ids.append(self.ids[piece])
-                    widths.append(len(piece))
-                else:
-                    units = piece.encode()
-                    ids += [self.bytes[b] for b in units]
-                    widths += [0] * (len(units) - 1) + [1]
-        return tuple(ids), tuple(widths)
+
+    def widths(self, ids: np.ndarray) -> np.ndarray:
+        """How many normalised characters each piece stands for."""
+        ends = self.is_byte[ids].copy()
+        ends[:-1] &= ~self.is_later[ids[1:]]
+        return self.letters[ids] + ends
 
     def __call__(self, text: str | None, begin: bool = True, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first source byte of each and the byte after its last."""
         normal, origin = self.normalise(text or "")
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        found = [self.words[w] for w in self.word.findall(normal)]
-        ids = np.fromiter(chain([self.begin] * begin, chain.from_iterable(f[0] for f in found), [self.end] * end), dtype=np.uint32)
-        widths = np.fromiter(chain([0] * begin, chain.from_iterable(f[1] for f in found), [0] * end), dtype=np.int64)
+        ids = np.array([*[self.begin] * begin, *self.segments.encode(normal), *[self.end] * end], dtype=np.int64)
+        widths = self.widths(ids)
         stops = np.cumsum(widths)
-        starts, stops = origin[stops - widths], origin[stops]
-        if (starts[1:] != stops[:-1]).any():
-            raise ValueError("the spans of pieces leave a gap")
-        return ids, starts, stops
+        if len(ids) and stops[-1] != len(normal):
+            raise ValueError("the pieces don't cover the text")
+        return ids, origin[stops - widths], origin[stops]
 
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """A worker's encoder: it and what it remembers outlive a task."""
+    """A worker's encoder, which outlives a task."""
     return Encoder(path)
 
 
