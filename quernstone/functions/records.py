@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rights that need evidence; others pass without.
 PROVEN = ("public_domain", "licensed", "permission")
@@ -63,14 +68,51 @@ def safe_path(path: Column) -> Column:
     return F.coalesce(path.rlike(r"^(?!/)(?!.*(?:^|/)\.{0,2}(?:/|\z))[^\\:\x00]+\z"), F.lit(False))
 
 
-def longest_repeat(words: Column, most: int) -> Column:
-    """The largest n up to ``most`` and half the words with a run of n words that comes twice: 0 if none."""
-    def repeats(n: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.size(F.array_distinct(runs)) < F.size(runs)
-
-    top = F.least(F.lit(most), F.floor(F.size(words) / 2).cast("int"))
-    return F.when(top < 1, 0).otherwise(F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), repeats)), F.lit(0))).cast("long")
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _repeats(codes: np.ndarray, sums: np.ndarray, powers: np.ndarray, n: int) -> bool:
+    """Whether some run of n words comes twice: runs of equal hashes are compared word by word."""
+    hashes = (sums[n:] - sums[:-n]) * powers[: len(sums) - n][::-1]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    alike = np.flatnonzero(ranked[1:] == ranked[:-1])
+    for i in alike:
+        if (codes[order[i] : order[i] + n] == codes[order[i + 1] : order[i + 1] + n]).all():
+            return True
+    # Unequal runs of one hash may stand between equal ones.
+    return len(alike) > 0 and len({codes[i : i + n].tobytes() for i in range(len(codes) - n + 1)}) <= len(codes) - n
+
+
+def longest_run(words: list[str]) -> int:
+    """The largest n up to half the words with a run of n words that comes twice: 0 if none.
+    A repeat of n words holds one of n - 1, so n is found by halving."""
+    if len(words) < 2:
+        return 0
+    numbers = {}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.uint64)
+    powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(words), _BASE, dtype=np.uint64)]), dtype=np.uint64)
+    mixed = (codes + np.uint64(1)) * _SPREAD
+    mixed ^= mixed >> np.uint64(31)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * powers[: len(words)], dtype=np.uint64)])
+    low, high = 0, len(words) // 2
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if _repeats(codes, sums, powers, n) else (low, n - 1)
+    return low
+
+
+def longest_repeats(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds the length of the longest run of words that comes twice in its row, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if w is None else longest_run(w) for w in batch[words].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(found, pa.int64())], [*kept, out])
+
+    kept = [c for c in rows.columns if c != words]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(out, T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def critique_reasons(row: dict[str, Column], least: dict[str, int]) -> Column:

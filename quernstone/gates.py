@@ -47,9 +47,9 @@ def phrases_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-17,
     return _docs(spark, sf_dir).select("doc_id", records.phrase_count(norm, "the").alias("n_phrases"), records.safe_path(path).alias("safe"))
 
 
-def longest_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-15: of each turn, runs of up to 16 words
+def longest_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-15: of each turn
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", words(F.col("text")).alias("w"))
-    return rows.select("conv_id", "turn", records.longest_repeat(F.col("w"), 16).alias("longest"))
+    return records.longest_repeats(rows, "w", "longest")
 
 
 def critique_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:  # FLT-8
@@ -109,7 +109,7 @@ SQL = {
     "document_hashes": r"SELECT doc_id, sha256(doc_id || chr(0) || source || chr(0) || text) AS document, sha256(text) AS raw, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS cleaned FROM documents",
     "phrases_and_paths": r"""WITH n AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{L}\p{N}_'']+'), ' ') AS t FROM documents)
       SELECT doc_id, CAST(len(string_split(t, 'the')) - 1 AS BIGINT) AS n_phrases, doc_id % 6 IN (0, 5) AS safe FROM n""",
-    "longest_repeats": r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{L}\p{N}_'']+') AS w FROM conversations), n AS (SELECT *, unnest(range(1, least(16, len(w) // 2) + 1)) AS n FROM w),
+    "longest_repeats": r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{L}\p{N}_'']+') AS w FROM conversations), n AS (SELECT *, unnest(range(1, len(w) // 2 + 1)) AS n FROM w),
       g AS (SELECT conv_id, turn, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM n) x), r AS (SELECT conv_id, turn, n FROM g GROUP BY ALL HAVING count(DISTINCT g) < count(*))
       SELECT w.conv_id, w.turn, coalesce(max(r.n), 0) AS longest FROM w LEFT JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn GROUP BY ALL""",
     "critique_reasons": "SELECT p_partkey, " + _LIST.format("""CASE WHEN p_size <= 5 THEN 'critic_rejected' END, CASE WHEN p_size % 7 < 3 THEN 'coherence=' || p_size % 7 END, CASE WHEN p_size % 5 < 2 THEN 'craft=' || p_size % 5 END,

@@ -1,26 +1,15 @@
-"""Resumable orders over finite tables: epochs, batches, digests, fair schedules.
+"""Orders over finite tables: epochs, batches and their digests, plans of positions and fields.
 
-A cursor is a table of (epoch, place, batch) rows; resuming is a filter on the
-batch number, guarded by a digest of the order. Places come from sums by ranges
-of a hash, so no task ranks the whole table.
+Places come from counts by ranges of a hash, so no task ranks the whole table. What
+is read next, and where reading goes on later, is in ``stream``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _placed(rows: DataFrame, by: list[str], key: str, tie: str) -> DataFrame:
-    """Adds ``place`` (from 0) within ``by`` in the order of hexadecimal ``key``: counts by
-    the key's first three digits, running sums over those, ranks inside."""
-    ranged = rows.withColumn("lead_", F.substring(key, 1, 3))
-    counts = ranged.groupBy(*by, "lead_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(*by).orderBy("lead_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "lead_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy(*by, "lead_").orderBy(key, tie)) - 1
-    joined = ranged.withColumn("own_", inside).join(counts, [*by, "lead_"])
-    return joined.withColumn("place", (F.col("before_") + F.col("own_")).cast("long")).drop("lead_", "before_", "own_")
+from .ranges import places
 
 
 def epochs(rows: DataFrame, id_column: str, seed: str, n_epochs: int, group: Column | None = None) -> DataFrame:
@@ -28,7 +17,7 @@ def epochs(rows: DataFrame, id_column: str, seed: str, n_epochs: int, group: Col
     group = F.lit("") if group is None else group
     spread = rows.withColumn("objective", group).withColumn("epoch", F.explode(F.array(*map(F.lit, range(n_epochs)))))
     key = F.sha2(F.concat_ws(":", F.lit(seed), "objective", F.col("epoch").cast("string"), F.col(id_column).cast("string")), 256)
-    return _placed(spread.withColumn("order_key", key), ["objective", "epoch"], "order_key", id_column)
+    return places(spread.withColumn("order_key", key), ["objective", "epoch"], ["order_key", id_column], "place")
 
 
 def batches(placed: DataFrame, size: int, whole_only: bool) -> DataFrame:
@@ -46,46 +35,6 @@ def batch_digests(batched: DataFrame, id_column: str) -> DataFrame:
     return batched.groupBy("objective", "epoch", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(listed, 256).alias("digest"))
 
 
-def order_digest(digests: DataFrame) -> str:
-    """One digest of a whole order, combined from its batches' whatever their number: sums of hashes."""
-    row = digests.agg(F.sum(F.conv(F.substring(F.sha2(F.concat_ws("/", "objective", "epoch", "batch", "digest"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s")).first()
-    return str(row["s"])
-
-
-def state(digests: DataFrame, next_batch: int) -> dict:
-    return {"next_batch": next_batch, "order": order_digest(digests)}
-
-
-def resume(batched: DataFrame, digests: DataFrame, saved: dict) -> DataFrame:
-    """The batches that a saved state has not yet read; a changed order is an error."""
-    if saved["order"] != order_digest(digests):
-        raise ValueError("the order differs from the one that was saved")
-    return batched.where(F.col("batch") >= saved["next_batch"])
-
-
-def probe(batched: DataFrame, id_column: str, skip: int, read: int) -> DataFrame:
-    """Digests of ``read`` batches after ``skip``; the cursor is not moved."""
-    return batch_digests(batched.where((F.col("batch") >= skip) & (F.col("batch") < skip + read)), id_column)
-
-
-def fair_order(batched: DataFrame, weights: dict[str, int], tokens: str) -> DataFrame:
-    """Batches of objectives by least tokens read over weight, ties by name: ``step`` from 0.
-
-    Exact integers: tokens are multiplied by the product of the other weights. An
-    objective without weight is dropped; one with weight but no batch is an error."""
-    common = 1
-    for w in weights.values():
-        common *= max(w, 1)
-    factor = F.element_at(F.create_map(*[F.lit(x) for k, w in weights.items() if w > 0 for x in (k, common // w)]), F.col("objective"))
-    used = batched.where(F.col("objective").isin([k for k, w in weights.items() if w > 0]))
-    missing = {k for k, w in weights.items() if w > 0} - {r[0] for r in used.select("objective").distinct().collect()}  # a row an objective
-    if missing:
-        raise ValueError(f"no batch of {sorted(missing)}")
-    line = Window.partitionBy("objective").orderBy("epoch", "batch").rowsBetween(Window.unboundedPreceding, -1)
-    due = (F.coalesce(F.sum(tokens).over(line), F.lit(0)) * factor).cast("decimal(38,0)")
-    return used.withColumn("due", due)
-
-
 def evenly_spaced(positions: Column, k: int) -> Column:
     """``k`` of an array's entries: entry i * (n - 1) div (k - 1); all of a shorter array."""
     n = F.size(positions)

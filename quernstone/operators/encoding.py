@@ -6,9 +6,12 @@ trained). Which function turns text into ids is the caller's choice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import stored
+from .ranges import PART, dealt, running
+
 
 def _many(value: Column | bool, n: Column) -> Column:
     return F.array_repeat(F.lit(value) if isinstance(value, bool) else value, n)
@@ -54,11 +57,13 @@ def stride_rows(sequences: DataFrame, group: str, order: str, width: int) -> Dat
     """``group, row, ids, mask``: each group's sequences in order as one line, cut to rows
     of ``width`` that share one position with the next; an unfilled last row goes.
 
-    Offsets come from sums by ranges of the order, so no task sees a whole group; a
-    sequence sends each row the slice it holds."""
+    Offsets come from sums of sizes by ranges of the order, so no task sees a whole
+    group and no token is sorted; a sequence sends each row the slice it holds."""
     step = width - 1
-    sized = with_offsets(sequences.withColumn("size", F.size("ids").cast("long")).where("size > 0"), group, order, "size", "at")
-    first = F.greatest(F.col("at") - 1, F.lit(0))
+    kept = sequences.select(group, order, "ids", "mask", F.size("ids").cast("long").alias("size"), F.monotonically_increasing_id().alias("key_"))
+    kept = stored(kept.where("size > 0"), "sequences")
+    at = with_offsets(kept.select(group, order, "size", "key_"), group, order, "size", "at", ("key_",))
+    sized = kept.join(at.select("key_", "at"), "key_")
     first, last = F.expr(f"greatest(at - 1, 0) div {step}"), F.expr(f"(at + size - 1) div {step}")
     spans = sized.withColumn("row", F.explode(F.sequence(first, last)))
     low, high = F.greatest(F.col("row") * step, F.col("at")), F.least(F.col("row") * step + width, F.col("at") + F.col("size"))
@@ -69,19 +74,12 @@ def stride_rows(sequences: DataFrame, group: str, order: str, width: int) -> Dat
     return rows.select(group, "row", whole("i").alias("ids"), whole("m").alias("mask")).where(F.size("ids") == width)
 
 
-def with_offsets(rows: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
-    """Adds the sum of ``value`` over the rows before in the group, by ``order`` (an
-    integer) and ``ties``: ranges of it are summed apart, so a group that is most of the table is spread over tasks."""
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, width = (ends["lo"] or 0), max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // parts + 1)
-    ranged = rows.withColumn("range_no", F.expr(f"(`{order}` - {lo}L) div {width}L"))
-    sums = ranged.groupBy(group, "range_no").agg(F.sum(value).alias("range_sum"))
-    before = Window.partitionBy(group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("group_"), F.col("range_no").alias("range_"), F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("before_"))
-    inside = Window.partitionBy(group, "range_no").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.withColumn("inside_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = joined.join(sums, F.col(group).eqNullSafe(F.col("group_")) & (F.col("range_no") == F.col("range_")))
-    return joined.withColumn(out, (F.col("before_") + F.col("inside_")).cast("long")).drop("group_", "range_", "before_", "inside_", "range_no")
+def with_offsets(rows: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before in the group, by ``order`` and
+    ``ties``: ranges are summed apart, so a group that is most of the table is spread over tasks."""
+    keys = [order, *ties]
+    summed = running(dealt(rows, [group], keys, "offsets"), [group], keys, "sum", F.col(value), out)
+    return summed.withColumn(out, F.col(out).cast("long")).drop(PART)
 
 
 def trained_rows(rows: DataFrame) -> DataFrame:

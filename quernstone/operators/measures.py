@@ -124,24 +124,6 @@ def hashed_features(values: DataFrame, key: str, path: str, number: str, text: s
     return slots.withColumn("weight", F.when(length == 0, 0.0).otherwise(F.col("w") / length)).drop("w")
 
 
-def greedy_prefixes(items: DataFrame, owner: str, index: str, gain: str, cost: str, budget: int) -> DataFrame:
-    """Items by gain a unit of cost, best first, taken while they fit the budget and extend
-    their owner's prefix (0, 1, 2, ..). One fold over one list: for component tables, not corpora."""
-    listed = items.select(F.sort_array(F.collect_list(F.struct((-F.col(gain) / F.col(cost)).alias("s"), F.col(owner).alias("o"), F.col(index).cast("long").alias("i"), F.col(cost).cast("long").alias("c")))).alias("l"))
-    nothing = F.struct(F.lit(budget).cast("long").alias("left"), F.expr("cast(map() as map<string,bigint>)").alias("next"), F.expr("cast(array() as array<struct<o:string,i:bigint>>)").alias("taken"))
-
-    def step(acc, x):
-        fits = (x["c"] <= acc["left"]) & (x["i"] == F.coalesce(F.try_element_at(acc["next"], x["o"]), F.lit(0)))
-        others = F.map_filter(acc["next"], lambda k, _: k != x["o"])
-        return F.struct(
-            F.when(fits, acc["left"] - x["c"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.map_concat(others, F.create_map(x["o"], x["i"] + 1))).otherwise(acc["next"]).alias("next"),
-            F.when(fits, F.concat(acc["taken"], F.array(F.struct(x["o"].alias("o"), x["i"].alias("i"))))).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    return listed.select(F.explode(F.aggregate("l", nothing, step, lambda acc: acc["taken"])).alias("t")).select(F.col("t.o").alias(owner), F.col("t.i").alias(index))
-
-
 def graph_edges(nodes: DataFrame) -> DataFrame:
     """``src, dst`` both ways of a tensor inventory (``idx, layer``): neighbours within a layer,
     all of one layer with all of the next present one, nodes without a layer with every node.

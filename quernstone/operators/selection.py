@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import stored
+from .ranges import PART, dealt, running
 
 
 def running_total(rows: DataFrame, key: str, value: str, out: str, tie: str) -> DataFrame:
@@ -26,23 +27,51 @@ def budget_prefix(rows: DataFrame, key: str, value: str, target: int, tie: str)
 
 def greedy_disjoint(items: DataFrame) -> DataFrame:
     """``id, accepted``: ids in order are accepted if they share no token with an accepted
-    one (rows ``id, token``). A row is decided once all lesser rows it meets are; rounds
-    follow the longest chain of conflicts."""
-    items = stored(items.select("id", "token").distinct(), "greedy-items")
-    state = stored(items.select("id").distinct().withColumn("accepted", F.lit(None).cast("boolean")), "greedy-state")
+    one (rows ``id, token``). In a round, a row that is the least of all its tokens is
+    accepted, and rows that share a token with it are not. Rounds follow the longest chain
+    of conflicts; decided rows take no part in later ones. Tokens are folded to their least
+    row before the shuffle, so a token that most rows have costs no single task."""
+    rest = stored(items.select("id", "token").distinct(), "greedy-items")
+    every, accepted = rest.select("id").distinct(), None
+    while not rest.isEmpty():
+        least = rest.groupBy("token").agg(F.min("id").alias("least"))
+        first = rest.join(least, "token").groupBy("id").agg(F.max((F.col("least") < F.col("id")).cast("int")).alias("behind")).where("behind = 0")
+        first = stored(first.select("id"), "greedy-accepted")
+        gone = rest.join(first, "id", "left_semi").select("token").distinct()
+        out = rest.join(gone, "token", "left_semi").select("id").distinct()
+        rest = stored(rest.join(out, "id", "left_anti"), "greedy-items")
+        accepted = first if accepted is None else accepted.unionByName(first)
+    if accepted is None:
+        return every.withColumn("accepted", F.lit(True))
+    return every.join(accepted.withColumn("accepted", F.lit(True)), "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def open_dedup(rows: DataFrame, budgets: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """Rows ``id, split, size, keys`` accepted in the order of ids, and where each split closed.
+
+    A row is accepted if its split is still open and no accepted row before it has one of
+    its keys, whatever that row's split. A split closes with the row that brings its sizes
+    to its budget; rows of a closed split neither enter nor keep others out. Splits without
+    a budget stay open. Each round takes the rows of open splits as if none closed later:
+    up to the first closing that is right, so that one is settled, and so rounds are as many as splits."""
+    rows = stored(rows.select("id", "split", F.col("size").cast("long").alias("size"), "keys"), "open-rows")
+    closed: dict[str, int] = {}
     while True:
-        rows = items.join(state, "id")
-        order = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-        seen = rows.select(
-            "id", "accepted",
-            F.max(F.coalesce(F.col("accepted"), F.lit(False)).cast("int")).over(order).alias("won"),
-            F.max(F.col("accepted").isNull().cast("int")).over(order).alias("open"),
-        )
-        by_id = seen.groupBy("id").agg(F.max("won").alias("won"), F.max("open").alias("open"), F.first("accepted").alias("accepted"))
-        decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.coalesce("won", F.lit(0)) == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = stored(by_id.select("id", decided.alias("accepted")), "greedy-state")
-        if state.where("accepted IS NULL").isEmpty():
-            return state
+        shut = F.lit(False)
+        for split, last in closed.items():
+            shut |= (F.col("split") == split) & (F.col("id") > last)
+        live = rows.where(~F.coalesce(shut, F.lit(False)))
+        chosen = greedy_disjoint(live.select("id", F.explode("keys").alias("token"))).where("accepted").select("id")
+        taken = live.join(chosen, "id", "left_semi").unionByName(live.where(F.size("keys") <= 0)).drop("keys")
+        total = running(dealt(taken, ["split"], ["id"], "open-taken"), ["split"], ["id"], "sum", F.col("size"), "total", inclusive=True).drop(PART)
+        full = F.lit(False)
+        for split in sorted(budgets.keys() - closed.keys()):
+            full |= (F.col("split") == split) & (F.col("total") >= budgets[split])
+        total = stored(total, "open-totals")
+        first = total.where(full).orderBy("id").select("id", "split").first()
+        if first is None:
+            return total, closed
+        closed[first["split"]] = first["id"]
 
 
 def next_fit(rows: DataFrame, group: str, order: str, length: str, width: int) -> DataFrame:

@@ -123,12 +123,10 @@ def duplicate_assistant(d):  # FLT-6
     return f"""select conv_id, count(*) as n_answers, count(distinct text) < count(*) as repeated from {d.table('conversations')} where role = 'assistant' group by conv_id"""
 
 
-def line_runs(d):  # AGG-1: gaps and islands
-    # Numbers of a conversation with over 1,000 runs reach into the next one's; the checking SQL is left as it is.
-    key = "conv_id, role, run" if d.name == "spark" else "role, run"
-    return f"""select role, cast(run as bigint) as run, min(seq) as first_seq, count(*) as n_lines, {d.sha(d.ordered('seq', 'text', 'chr(10)'))} as joined from (
-      select *, sum(case when role = prev then 0 else 1 end) over (partition by conv_id order by seq rows unbounded preceding) + conv_id * 1000 as run from (
-        select conv_id, conv_id * 1000 + turn as seq, role, text, lag(role) over (partition by conv_id order by turn) as prev from {d.table('conversations')}) a) b group by {key}"""
+def line_runs(d):  # AGG-1: gaps and islands within a conversation
+    return f"""select conv_id, role, cast(run as bigint) as run, min(turn) as first_turn, count(*) as n_lines, {d.sha(d.ordered('turn', 'text', 'chr(10)'))} as joined from (
+      select *, sum(case when role = prev then 0 else 1 end) over (partition by conv_id order by turn rows unbounded preceding) as run from (
+        select conv_id, turn, role, text, lag(role) over (partition by conv_id order by turn) as prev from {d.table('conversations')}) a) b group by conv_id, role, run"""
 
 
 def protected_antijoin(d):  # JOIN-7, SET-4

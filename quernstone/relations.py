@@ -187,11 +187,6 @@ def record_features(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-24
     return out.select("p_partkey", "slot", F.round("weight", 9).alias("weight"))
 
 
-def greedy_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:  # TOP-5, TOP-9
-    rows = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("owner"), F.expr("row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) - 1").alias("index"), (F.col("s_acctbal") + 1000.0).alias("gain"), (F.lit(40) + F.col("s_suppkey") % 50).cast("long").alias("cost"))
-    return measures.greedy_prefixes(rows.where("index < 6"), "owner", "index", "gain", "cost", 900)
-
-
 def inventory_graph(spark: SparkSession, sf_dir: str) -> DataFrame:  # PLN-10, XFN-25
     layer = F.regexp_extract("p_name", r"(?:layers|blocks|h)\.(\d+)", 1)
     rows = _table(spark, sf_dir, "part").where("p_partkey <= 60").select("p_partkey", F.when(F.col("p_partkey") % 20 == 0, "embed").otherwise(F.concat(F.lit("h."), (F.col("p_partkey") % 7).cast("string"))).alias("p_name"))
@@ -276,12 +271,6 @@ SQL = {
       UNION ALL SELECT p_partkey, sha256('3107:recipe.price:number'), sign(100 - p_retailprice) * ln(1 + abs(100 - p_retailprice)) FROM part),
       s AS (SELECT p_partkey, CAST(('0x' || h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT % 64 AS BIGINT) AS slot, sum(w) AS w FROM f GROUP BY ALL)
       SELECT p_partkey, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)), 9) AS weight FROM s""",
-    "greedy_prefixes": """WITH RECURSIVE c AS (SELECT 'n' || s_nationkey AS owner, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS index, (s_acctbal + 1000.0) AS gain, 40 + s_suppkey % 50 AS cost FROM supplier),
-      o AS (SELECT *, row_number() OVER (ORDER BY gain / cost DESC, owner, index, cost) AS k FROM c WHERE index < 6),
-      f AS (SELECT 0::BIGINT AS k, 900::BIGINT AS left_over, ''::VARCHAR AS owner, -1::BIGINT AS index, []::VARCHAR[] AS taken UNION ALL
-        SELECT o.k, CASE WHEN fits THEN left_over - cost ELSE left_over END, CASE WHEN fits THEN o.owner ELSE '' END, o.index, CASE WHEN fits THEN list_append(taken, o.owner) ELSE taken END
-        FROM f JOIN o ON o.k = f.k + 1, LATERAL (SELECT cost <= left_over AND o.index = len(list_filter(taken, lambda t: t = o.owner)) AS fits) l)
-      SELECT owner, index FROM f WHERE owner <> ''""",
     "inventory_graph": """WITH n AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 20 <> 0 THEN p_partkey % 7 END AS l FROM part WHERE p_partkey <= 60),
       a AS (SELECT x.i AS s, y.i AS d FROM n x JOIN n y ON (x.l = y.l AND y.i = (SELECT min(i) FROM n z WHERE z.l = x.l AND z.i > x.i)) OR y.l = (SELECT min(l) FROM n z WHERE z.l > x.l) OR (x.l IS NULL AND x.i <> y.i))
       SELECT s AS src, d AS dst FROM a UNION SELECT d, s FROM a""",
@@ -290,5 +279,5 @@ SQL = {
 QUERIES = {f.__name__: f for f in (
     wildcard_examples, pairing_faults, merged_examples, owned_splits, split_conflicts, request_coverage, classified_results, shared_families, merged_manifests, turn_order_faults,
     heldout_matches, heldout_evidence, contaminated_conversations, usage_totals, vector_geometry, anchor_drift, turning, forecast, chain_faults, token_sketch, byte_frequency,
-    record_features, greedy_prefixes, inventory_graph,
+    record_features, inventory_graph,
 )}

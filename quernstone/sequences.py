@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cursor, encoding
+from .operators import cursor, encoding, stream
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Marks of a tokenizer's first ids; words have ids from 16 on.
@@ -97,13 +97,35 @@ def whole_batches(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-3 (fixe
     return cursor.batch_digests(_batched(spark, sf_dir, True), "doc_id")
 
 
-def batch_probe(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-8: three batches after two, the cursor unmoved
-    return cursor.probe(_batched(spark, sf_dir, False), "doc_id", 2, 3)
+#: What else than its rows decides a stream's order.
+RULES = {"seed": "order-1", "batch": 16, "weights": sorted(WEIGHTS.items())}
+
+
+def _scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _batched(spark, sf_dir, False)
+    sums = rows.groupBy("objective", "epoch", "batch").agg(F.sum("n").alias("n_tokens"))
+    return stream.schedule(sums.join(cursor.batch_digests(rows, "doc_id"), ["objective", "epoch", "batch"]), WEIGHTS)
+
+
+def batch_probe(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-8: three batches after two more than four, nothing moved
+    return stream.probe(_scheduled(spark, sf_dir), 4, 2, 3).select("step", "objective", "epoch", "batch", "n_rows", "digest")
+
+
+def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-1: what is left after seven batches
+    scheduled = _scheduled(spark, sf_dir)
+    content = stream.content_digest(_table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("text")), "doc_id", "lang", "text")
+    rest = stream.resume(scheduled, stream.state(scheduled, 7, content, RULES), content, RULES)
+    return rest.select("step", "objective", "epoch", "batch", "n_rows", "n_tokens", "digest")
+
+
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-1, STM-2: epoch, position and tokens of each objective after seven batches
+    saved = stream.state(_scheduled(spark, sf_dir), 7, "", RULES)
+    rows = [(o, saved["epochs"][o], saved["positions"][o], saved["tokens"][o]) for o in sorted(saved["epochs"])]
+    return spark.createDataFrame(rows, "objective string, epoch int, position int, tokens long")
 
 
 def fair_batches(spark: SparkSession, sf_dir: str) -> DataFrame:  # STM-2, WIN-10, FLT-12
-    sums = _batched(spark, sf_dir, False).groupBy("objective", "epoch", "batch").agg(F.sum("n").alias("n"))
-    return cursor.fair_order(sums, WEIGHTS, "n").select("objective", "epoch", "batch", F.col("due").cast("long").alias("due"))
+    return _scheduled(spark, sf_dir).select("step", "objective", "epoch", "batch", F.col("due").cast("long").alias("due"))
 
 
 def spaced_positions(spark: SparkSession, sf_dir: str) -> DataFrame:  # WIN-14, GOV-14: five of a row's trained positions, bound by a digest
@@ -143,6 +165,14 @@ _BATCH = r"""v AS (SELECT doc_id, lang AS objective, e AS epoch, len(regexp_extr
  p AS (SELECT *, row_number() OVER (PARTITION BY objective, epoch ORDER BY k, doc_id) - 1 AS place, count(*) OVER (PARTITION BY objective, epoch) AS size FROM v),
  b AS (SELECT *, place // 16 AS batch FROM p)"""
 _DIGESTS = "SELECT objective, epoch, batch, count(*) AS n_rows, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY place)) AS digest FROM b {} GROUP BY objective, epoch, batch"
+#: One batch after another: the tokens read of each objective decide the next; it ends where that one is not unrolled.
+_STREAM = f"""{_BATCH}, g AS ({_DIGESTS.format('')}), s AS (SELECT objective, epoch, batch, CAST(sum(n) AS BIGINT) AS n_tokens FROM b WHERE objective <> 'es' GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY objective ORDER BY epoch, batch) - 1 AS k FROM s JOIN g USING (objective, epoch, batch)),
+ y AS (SELECT CAST(-1 AS BIGINT) AS step, '' AS objective, 0 AS epoch, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_tokens, '' AS digest, CAST(0 AS BIGINT) AS due,
+     CAST([0, 0, 0] AS BIGINT[]) AS k, CAST([0, 0, 0] AS BIGINT[]) AS t UNION ALL
+   SELECT q.step + 1, n.objective, n.epoch, n.batch, n.n_rows, n.n_tokens, n.digest, q.t[q.c] * [6, 2, 3][q.c],
+     list_transform([1, 2, 3], lambda i: q.k[i] + CASE WHEN i = q.c THEN 1 ELSE 0 END), list_transform([1, 2, 3], lambda i: q.t[i] + CASE WHEN i = q.c THEN n.n_tokens ELSE 0 END)
+   FROM (SELECT *, CASE WHEN t[1] * 6 <= t[2] * 2 AND t[1] * 6 <= t[3] * 3 THEN 1 WHEN t[2] * 2 <= t[3] * 3 THEN 2 ELSE 3 END AS c FROM y) q JOIN n ON n.objective = ['de', 'en', 'fr'][q.c] AND n.k = q.k[q.c])"""
 _MASKED = "len(replace(substring(mask, 2), '0', ''))"
 
 SQL = {
@@ -158,9 +188,11 @@ SQL = {
     "pack_faults": f"WITH {_EXAMPLES} SELECT doc_id AS pack_id, 'too long' AS fault FROM e WHERE n > 1000 UNION ALL SELECT doc_id, 'token beyond vocabulary' FROM e WHERE list_max(ids) >= 65000",
     "epoch_batches": f"WITH {_BATCH} {_DIGESTS.format('')}",
     "whole_batches": f"WITH {_BATCH} {_DIGESTS.format('WHERE batch < size // 16')}",
-    "batch_probe": f"WITH {_BATCH} {_DIGESTS.format('WHERE batch BETWEEN 2 AND 4')}",
-    "fair_batches": f"""WITH {_BATCH}, s AS (SELECT objective, epoch, batch, sum(n) AS n, CASE objective WHEN 'de' THEN 1 WHEN 'en' THEN 3 WHEN 'fr' THEN 2 END AS w FROM b WHERE objective <> 'es' GROUP BY ALL)
-      SELECT objective, epoch, batch, CAST(coalesce(sum(n) OVER (PARTITION BY objective ORDER BY epoch, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 6 / w AS BIGINT) AS due FROM s""",
+    "batch_probe": f"WITH RECURSIVE {_STREAM} SELECT step, objective, epoch, batch, n_rows, digest FROM y WHERE step BETWEEN 6 AND 8",
+    "resumed_batches": f"WITH RECURSIVE {_STREAM} SELECT step, objective, epoch, batch, n_rows, n_tokens, digest FROM y WHERE step >= 7",
+    "stream_states": f"""WITH RECURSIVE {_STREAM}, u AS (SELECT objective, count(*) FILTER (step < 7) AS k, coalesce(sum(n_tokens) FILTER (step < 7), 0) AS tokens FROM y WHERE step >= 0 GROUP BY objective)
+      SELECT u.objective, CAST(k // z.many AS INT) AS epoch, CAST(k % z.many AS INT) AS position, CAST(tokens AS BIGINT) AS tokens FROM u JOIN (SELECT objective, count(*) FILTER (epoch = 0) AS many FROM n GROUP BY objective) z USING (objective)""",
+    "fair_batches": f"WITH RECURSIVE {_STREAM} SELECT step, objective, epoch, batch, due FROM y WHERE step >= 0",
     "spaced_positions": f"""WITH {_EXAMPLES}, a AS (SELECT doc_id, CASE WHEN n - p <= 5 THEN range(p, n) ELSE list_transform(range(0, 5), lambda i: p + (i * (n - p - 1)) // 4) END AS pos FROM e)
       SELECT doc_id, array_to_string(pos, ',') AS positions, sha256(doc_id || ':' || array_to_string(pos, ',')) AS commitment FROM a""",
     "prompt_plan": """WITH i AS (SELECT unnest(range(30, 330)) AS index), d AS (SELECT index, index // 60 AS block, index % 60 AS r FROM i),
@@ -172,5 +204,5 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     conditional_encoding, continuation_encoding, chat_encoding, chat_rows, corpus_rows, chunked_examples, shifted_batches, pack_faults,
-    epoch_batches, whole_batches, batch_probe, fair_batches, spaced_positions, prompt_plan, scaled_exposure,
+    epoch_batches, whole_batches, batch_probe, resumed_batches, stream_states, fair_batches, spaced_positions, prompt_plan, scaled_exposure,
 )}

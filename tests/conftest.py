@@ -28,6 +28,14 @@ def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+@pytest.fixture
+def several_ranges(spark):
+    """Small tables would be one range else."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def rows_of(frame, columns):
     frame = frame[columns].astype(object)
     rows = (tuple(None if pd.isna(x) else round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.itertuples(index=False, name=None))

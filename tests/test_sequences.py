@@ -1,12 +1,16 @@
 """Operators on token sequences, cursors and records against plain Python."""
 
+import hashlib
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import records
-from quernstone.operators import cursor, encoding, joins, measures
+from quernstone.operators import cursor, encoding, joins, measures, ranges, stream
+
+pytestmark = pytest.mark.usefixtures("several_ranges")
 
 
 def test_chunks_train_each_target_once(spark):
@@ -37,18 +41,113 @@ def test_stride_rows_equal_slices_of_the_line(spark):
     assert encoding.stride_rows(df.limit(0), "g", "o", 8).count() == 0
 
 
-def test_cursor_resumes_and_refuses_another_order(spark):
-    rows = spark.range(100).withColumnRenamed("id", "doc")
-    batched = cursor.batches(cursor.epochs(rows, "doc", "s", 2), 8, whole_only=True)
-    digests = cursor.batch_digests(batched, "doc")
-    assert digests.count() == 24 and {r["n_rows"] for r in digests.collect()} == {8}
-    rest = cursor.resume(batched, digests, cursor.state(digests, 5))
-    assert rest.count() == 2 * 7 * 8
-    other = cursor.batches(cursor.epochs(rows, "doc", "t", 2), 8, whole_only=True)
+def _stream(spark, sizes, weights, epochs=3, batch=4, seed="s"):
+    """Scheduled batches of documents ``objective, tokens``, and the same walked one by one."""
+    rows = [(i, o, n, f"text {i}") for i, (o, n) in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc long, o string, n long, text string")
+    batched = cursor.batches(cursor.epochs(df, "doc", seed, epochs, F.col("o")), batch, whole_only=False)
+    sums = batched.groupBy("objective", "epoch", "batch").agg(F.sum("n").alias("n_tokens"))
+    scheduled = stream.schedule(sums.join(cursor.batch_digests(batched, "doc"), ["objective", "epoch", "batch"]), weights)
+    exact = {k: Fraction(str(w)) for k, w in weights.items() if Fraction(str(w)) > 0}
+    order = {(o, e): sorted((hashlib.sha256(f"{seed}:{o}:{e}:{i}".encode()).hexdigest(), i, n) for i, p, n, _ in rows if p == o) for o in exact for e in range(epochs)}
+    at, read, walked = {o: (0, 0) for o in exact}, dict.fromkeys(exact, 0), []
+    while True:
+        o = min(exact, key=lambda k: (read[k] / exact[k], k))
+        e, b = at[o]
+        if e == epochs:
+            break
+        part = order[o, e][b * batch : (b + 1) * batch]
+        walked.append((o, e, b, [i for _, i, _ in part]))
+        read[o] += sum(n for _, _, n in part)
+        at[o] = (e, b + 1) if (b + 1) * batch < len(order[o, e]) else (e + 1, 0)
+    return df, batched, scheduled, walked
+
+
+def _walk(scheduled):
+    return [(r["objective"], r["epoch"], r["batch"]) for r in scheduled.orderBy("step").collect()]
+
+
+def test_stream_equals_a_walk_of_batch_after_batch(spark):
+    rng = random.Random(9)
+    for weights in ({"a": "0.1", "b": 0.7, "c": 1}, {"a": 3, "b": 1, "c": 0}, {"a": 1, "b": 1, "c": "2.5"}):
+        sizes = [(rng.choice("aabc"), rng.choice((0, 1, 5, 40))) for _ in range(60)]
+        _, batched, scheduled, walked = _stream(spark, sizes, weights)
+        assert _walk(scheduled) == [w[:3] for w in walked]
+        assert [r["step"] for r in scheduled.orderBy("step").collect()] == list(range(len(walked)))
+        ids = {(r["objective"], r["epoch"], r["batch"]): r["ids"] for r in batched.groupBy("objective", "epoch", "batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc"))), lambda s: s["doc"]).alias("ids")).collect()}
+        assert all(ids[w[:3]] == w[3] for w in walked)
+
+
+def test_stream_resumes_anywhere_and_refuses_what_differs(spark):
+    rng = random.Random(10)
+    sizes = [(rng.choice("ab"), rng.randrange(1, 30)) for _ in range(40)]
+    df, _, scheduled, walked = _stream(spark, sizes, {"a": 1, "b": 2})
+    rules = {"seed": "s", "weights": "a1b2"}
+    content = stream.content_digest(df, "doc", "o", "n", "text")
+    for k in (0, 1, 7, len(walked) - 1, len(walked)):
+        saved = stream.state(scheduled, k, content, rules)
+        assert _walk(stream.resume(scheduled, saved, content, rules)) == [w[:3] for w in walked[k:]]
+        assert _walk(stream.probe(scheduled, k, 2, 3)) == [w[:3] for w in walked[k + 2 : k + 5]]
+        passed = [sizes[i][1] for w in walked[k : k + 4] for i in w[3]]
+        assert stream.skipped(scheduled, k, 4) == {"batches": len(walked[k : k + 4]), "tokens": sum(passed)}
+        for o in "ab":
+            mine = [w for w in walked[:k] if w[0] == o]
+            many = max(w[2] for w in walked if w[0] == o) + 1
+            assert (saved["epochs"][o], saved["positions"][o]) == divmod(len(mine), many)
+            assert saved["tokens"][o] == sum(sizes[i][1] for w in mine for i in w[3])
+    saved = stream.state(scheduled, 7, content, rules)
+    changed = stream.content_digest(df.withColumn("text", F.when(F.col("doc") == 3, "other").otherwise(F.col("text"))), "doc", "o", "n", "text")
+    with pytest.raises(ValueError, match="content"):
+        stream.resume(scheduled, saved, changed, rules)
+    with pytest.raises(ValueError, match="rules"):
+        stream.resume(scheduled, saved, content, {**rules, "seed": "t"})
     with pytest.raises(ValueError, match="order"):
-        cursor.resume(other, cursor.batch_digests(other, "doc"), cursor.state(digests, 5))
+        stream.resume(_stream(spark, sizes, {"a": 1, "b": 2}, seed="t")[2], saved, content, rules)
+    with pytest.raises(ValueError, match="positions"):
+        stream.resume(scheduled, {**saved, "positions": {"a": 0, "b": 0}}, content, rules)
+    with pytest.raises(ValueError, match="state"):
+        stream.resume(scheduled, {"steps": True}, content, rules)
+    with pytest.raises(ValueError, match="whole number"):
+        stream.skipped(scheduled, 0, -1)
     with pytest.raises(ValueError, match="no batch"):
-        cursor.fair_order(digests, {"": 1, "gone": 2}, "n_rows")
+        _stream(spark, sizes, {"a": 1, "gone": 2}, epochs=1)
+    with pytest.raises(ValueError, match="weight"):
+        stream.factors({"a": 0})
+
+
+def test_small_decimal_weights_keep_their_ratio():
+    assert stream.factors({"a": 0.1, "b": "0.30", "c": 0}) == {"a": 3, "b": 1}
+
+
+def test_offsets_keep_null_extreme_and_equal_keys(spark):
+    rng = random.Random(11)
+    keys = [None, None, -(2**63), 2**63 - 1, *(rng.randrange(4) for _ in range(60))]
+    rows = [(rng.choice(["g", None]), k, i, rng.randrange(5)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "g string, o long, tie long, n long").repartition(7)
+    got = {r["tie"]: r["at"] for r in encoding.with_offsets(df, "g", "o", "n", "at", ("tie",)).collect()}
+    want, totals = {}, {}
+    for g, _, i, n in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        want[i] = totals.get(g, 0)
+        totals[g] = want[i] + n
+    assert got == want
+    lines = encoding.stride_rows(spark.createDataFrame([("g", 1, [1, 2, 3]), ("g", None, [8, 9])], "g string, o long, ids array<int>").withColumn("mask", F.transform("ids", lambda x: x > 0)), "g", "o", 3)
+    assert sorted((r["row"], r["ids"]) for r in lines.collect()) == [(0, [8, 9, 1]), (1, [1, 2, 3])]
+
+
+def test_running_values(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("xy"), i, rng.choice([None, 1, 2, 3])) for i in range(200)]
+    df = ranges.dealt(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], ["i"])
+    assert df.select(ranges.PART).distinct().count() > 1
+    low = {r["i"]: r["m"] for r in ranges.running(df, ["g"], ["i"], "min", F.col("v"), "m", inclusive=True).collect()}
+    top = {r["i"]: r["m"] for r in ranges.running(df, ["g"], ["i"], "max", F.col("v"), "m").collect()}
+    last = {r["i"]: r["p"] and (r["p"]["i"], r["p"]["v"]) for r in ranges.before(df, ["g"], ["i"], ["i", "v"], "p").collect()}
+    for g, i, _ in rows:
+        mine = [(j, v) for h, j, v in rows if h == g and j < i]
+        assert top[i] == max((v for _, v in mine if v), default=None)
+        assert low[i] == min((v for h, j, v in rows if h == g and j <= i and v), default=None)
+        assert last[i] == (mine[-1] if mine else None)
+    assert sorted(r["p"] for r in ranges.places(df, [], ["i"], "p").collect()) == list(range(200))
 
 
 def test_prompt_plan_is_balanced_and_free_of_collisions(spark):
