@@ -397,3 +397,65 @@ def test_components_brute_force(spark):
         linked = {x for a, b in edges if a != b for x in (a, b)}
         rows = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
         assert len(rows) == len(linked) and dict(rows) == {x: least[x] for x in linked}
+
+
+def _page(i, url, target="", base=None, tag="link"):
+    head = f'<base target="x"><base href="{base}">' if base is not None else ""
+    link = f'<link rel="canonical" href="{target}">' if tag == "link" else f'<meta http-equiv="refresh" content="0; url={target}">'
+    return (i, url, head + (link if target else ""))
+
+
+def test_url_filter_resolves_targets_as_a_reader_does(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    rng = random.Random(12)
+    parts = ["a", "b", "..", ".", "c.html", "%2e"]
+    rows = []
+    for i in range(300):
+        path = "/".join(rng.choices(["a", "b", "c"], k=rng.randrange(4)))
+        url = f"http://h{i % 5}.org/{path}" + rng.choice(["", "/" if path else "", "?q=1", "#f", "?x=/y/../z"])
+        target = rng.choice(["", "", "/", "//H9.org/", "http://o.org/"]) + "/".join(rng.choices(parts, k=rng.randrange(1, 5))) + rng.choice(["", "?k=v", "#z", "?k=../v"])
+        base = rng.choice([None, None, "/x/y/", "../up/", "https://other.org/d/e"])
+        rows.append((i, url, target, base))
+    got = url_filter.alias_edges(spark.createDataFrame([_page(i, u, t, b, rng.choice(["link", "meta"])) for i, u, t, b in rows], "page_id long, url string, html string"))
+
+    def key(url):
+        head, _, rest = urldefrag(url).url.partition("://")
+        host, slash, path = rest.partition("/")
+        host, q, query = (host, "", "") if slash else host.partition("?")
+        path, q2, query2 = path.partition("?") if slash else ("", q, query)
+        kept = []
+        for k, p in enumerate(segments := path.split("/")):
+            if p == "..":
+                kept = kept[:-1]
+            if p in (".", "..") and k == len(segments) - 1:
+                kept.append("")
+            elif p not in (".", ".."):
+                kept.append(p)
+        return f"{head.lower()}://{host.lower()}/" + "/".join(kept) + q2 + query2
+
+    want = set()
+    for _, url, target, base in rows:
+        seen = urljoin(url, base) if base is not None else url
+        a, b = key(url), key(urljoin(seen, target))
+        if a != b:
+            want.add((a, b))
+    found = {(r["a"], r["b"]) for r in got.collect()}
+    assert found == want
+
+
+def test_url_filter_blocks_what_resolves_to_a_blocked_url(spark):
+    rows = [
+        _page(1, "http://q.org/k", "http://example.com/en/x"), _page(2, "http://q.org/d/e", "../k"),
+        _page(3, "http://r.org/p?x=1", "?a=1"), _page(4, "http://r.org/p?a=1", "http://x.net/es/1", tag="meta"),
+        _page(5, "http://s.org/1", "2", base="http://t.org/d/"), _page(6, "http://t.org/d/2", "http://x.net/fr/&#x41;&amp;b"),
+        _page(7, "http://u.org/1", "mailto:a@example.com"), _page(8, "http://v.org", "http://example.com/e/../en/"), (None, "http://v.org/#top", None),
+    ]
+    got = [(r["page_id"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == sorted([(i, "block" if i != 7 else "allow") for i in range(1, 9)] + [(None, "block")], key=str)
+
+
+def test_url_rules_that_tie(spark):
+    rules = (("b.org", "/x", "block"), ("b.org", "/x", "allow"), ("org", "/xaa", "block"))
+    got = url_filter.judge(spark.createDataFrame([(1, "http://b.org/xaay", None)], "page_id long, url string, html string"), rules).first()
+    assert (got["rule"], got["verdict"]) == ("b.org/x", "allow")
