@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import artifacts, gates, ordered, orders, relations, sequences
+from . import artifacts, gates, ordered, orders, protection, relations, sequences
 from .functions import text as text_functions
 from .operators import graph, selection, similarity
 from .plans import queries as plans
@@ -43,11 +43,11 @@ def family_split(spark: SparkSession, sf_dir: str) -> DataFrame:  # CLU-1..3, SP
     """Families of lexical matches and equal texts; each family falls in one split."""
     docs = _documents(spark, sf_dir)
     norm = docs.select("doc_id", F.array_join(text_functions.words(F.col("text")), " ").alias("norm"))
-    pairs = similarity.near_matches(docs).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    pairs = similarity.family_links(docs).select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = graph.identity_edges(norm, "doc_id", ["norm"])
     families = graph.components(pairs.unionByName(same))
     rows = norm.join(families, norm["doc_id"] == families["node"], "left").select("doc_id", "norm", F.coalesce("family", "doc_id").alias("family"))
-    keys = rows.groupBy("family").agg(F.array_join(F.sort_array(F.collect_list(F.sha2("norm", 256))), ",").alias("key"))
+    keys = rows.groupBy("family").agg(protection.family_key(F.col("norm")).alias("key"))
     at = text_functions.unit_fraction(F.col("key"), plans.SALT)
     split = F.when(at < 0.9, "train").when(at < 0.95, "validation").otherwise("test")
     return rows.select("doc_id", "family").join(keys.select("family", split.alias("split")), "family").select("doc_id", "family", "split")
@@ -103,7 +103,7 @@ _FAMILIES = _GRAMS + r""",
  e AS (SELECT x AS a, y AS b FROM m UNION ALL SELECT y, x FROM m UNION ALL SELECT w.doc_id, s.sid FROM w JOIN s USING (norm) UNION ALL SELECT s.sid, w.doc_id FROM w JOIN s USING (norm)),
  r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
  f AS (SELECT w.doc_id, w.norm, min(r.c) AS family FROM w JOIN r ON r.d = w.doc_id GROUP BY ALL),
- q AS (SELECT family, CAST(CAST(('0x' || substring(sha256('quern-1' || chr(0) || string_agg(sha256(norm), ',' ORDER BY sha256(norm))), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS DOUBLE) / 18446744073709551616.0 AS u FROM f GROUP BY family),
+ q AS (SELECT family, CAST(CAST(('0x' || substring(sha256('quern-1' || chr(0) || sum(('0x' || substring(sha256(norm), 1, 15))::HUGEINT) || ':' || count(*)), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS DOUBLE) / 18446744073709551616.0 AS u FROM f GROUP BY family),
  z AS (SELECT f.doc_id, f.family, CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.95 THEN 'validation' ELSE 'test' END AS split FROM f JOIN q USING (family))"""
 _LONGEST = f"SELECT item_id, max(CASE WHEN n_found > 0 THEN n END) AS longest, max(rate) AS best_rate FROM ({plans.ngram_overlap(Duck)}) o GROUP BY item_id"
 OPERATORS_SQL = {
@@ -117,8 +117,8 @@ OPERATORS_SQL = {
 
 
 def queries() -> dict:
-    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES | gates.QUERIES | orders.QUERIES | ordered.QUERIES | artifacts.QUERIES
+    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES | gates.QUERIES | orders.QUERIES | ordered.QUERIES | artifacts.QUERIES | protection.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL | gates.SQL | ordered.SQL | artifacts.SQL | {"longest_overlap": _LONGEST}
+    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL | gates.SQL | ordered.SQL | artifacts.SQL | protection.SQL | {"longest_overlap": _LONGEST}

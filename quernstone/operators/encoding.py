@@ -87,6 +87,34 @@ def trained_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_trained", supervised(F.col("mask"))).where("n_trained > 0")
 
 
+def rows_until(sequences: DataFrame, order: str, width: int, target: int, batch: int) -> DataFrame:
+    """``row, ids, mask, n_trained`` as a writer leaves them that appends whole sequences to one line,
+    writes each row that is full and has a position to train, and stops after the sequence with
+    which the trained positions reach ``target`` and the rows written are a multiple of
+    ``batch``. A line that ends before is an error."""
+    step = width - 1
+    line = sequences.select(F.lit(0).alias("g_"), F.col(order), "ids", "mask")
+    rows = stride_rows(line, "g_", order, width).select("row", "ids", "mask", supervised(F.col("mask")).alias("n_trained"))
+    rows = stored(rows, "until-rows")
+    sums = dealt(rows.select("row", "n_trained"), [], ["row"], "until-sums")
+    sums = running(sums, [], ["row"], "sum", F.col("n_trained"), "trained", inclusive=True)
+    sums = running(sums, [], ["row"], "sum", (F.col("n_trained") > 0).cast("long"), "written", inclusive=True).select("row", "trained", "written")
+    ends = with_offsets(line.select("g_", order, F.size("ids").cast("long").alias("size")), "g_", order, "size", "at")
+    ends = ends.select(F.expr(f"(at + size - 1) div {step} - 1").alias("row")).distinct()
+    stop = ends.join(sums, "row").where((F.col("trained") >= target) & (F.col("written") % batch == 0)).agg(F.min("row").alias("row")).first()["row"]
+    if stop is None:
+        raise ValueError(f"the line ends before {target} trained positions and whole batches are reached")
+    return rows.where((F.col("row") <= stop) & (F.col("n_trained") > 0))
+
+
+def first_rows(rows: DataFrame, group: str, target: int) -> DataFrame:
+    """Each group's first ``target`` stride rows; a group that has fewer is an error."""
+    short = rows.groupBy(group).agg(F.count_if(F.col("row") < target).alias("n")).where(F.col("n") < target).first()
+    if short:
+        raise ValueError(f"{group} {short[group]!r} has {short['n']} rows of {target}")
+    return rows.where(F.col("row") < target)
+
+
 def chunks(sequences: DataFrame, width: int) -> DataFrame:
     """Adds ``chunk`` and replaces ``ids, mask``: sequences that fit stay whole. In longer
     ones, whose trained positions are one run from p on, chunk i starts at p - 1 + i * (width - 1):
@@ -127,3 +155,12 @@ def pack_faults(packs: DataFrame, width: int, vocabulary: int) -> DataFrame:
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
     return packs.select("pack_id", F.explode(found).alias("fault"))
+
+
+def number_faults(packs: DataFrame) -> DataFrame:
+    """``pack_id, fault`` of packs whose numbers, sorted, are not 0, 1, 2, ..: where one is missing before it, or it comes again."""
+    ranged = dealt(packs.select("pack_id"), [], ["pack_id"], "pack-numbers")
+    rows = running(ranged, [], ["pack_id"], "last", F.struct("pack_id"), "before").drop(PART)
+    last = F.coalesce(F.col("before.pack_id"), F.lit(-1))
+    fault = F.when(F.col("pack_id").isNull(), "no number").when(F.col("pack_id") == last, "repeated").when(F.col("pack_id") != last + 1, "not contiguous")
+    return rows.select("pack_id", fault.alias("fault")).where("fault IS NOT NULL")

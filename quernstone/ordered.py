@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import budget, runs, selection
+from .operators import blind, budget, runs, selection
 from .sequences import WORD
 from .sources import scan
 
@@ -65,7 +65,32 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:  # SRC-14: 100 d
     return scan.sample(rows, "doc_id", "sample-1", 100, F.col("n"), 2).select("doc_id", "rank")
 
 
+def _comparisons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items asked with three seeds; one in five is for development. Side b says it louder."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(11), F.lit(12), F.lit(13))).alias("seed"))
+    part = F.when(F.col("item_id") % 5 == 0, "development").otherwise("evaluation")
+    rows = items.select(F.concat_ws("-", "item_id", "seed").alias("request_id"), F.col("item_id").alias("case_id"), "seed", part.alias("partition"), "text")
+    chosen = rows.where("partition = 'evaluation'")
+    return blind.compared(rows.drop("text"), chosen.select("request_id", "text"), chosen.select("request_id", F.concat(F.lit("!"), "text").alias("text")), 7, "evaluation", ("plain", "loud"))
+
+
+def blind_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:  # JOIN-15, FLT-14, PLN-5
+    rows, _ = _comparisons(spark, sf_dir)
+    return rows.select("comparison_id", "request_id", "case_id", "seed", F.sha2("first", 256).alias("first"), F.sha2("second", 256).alias("second"))
+
+
+def blind_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:  # JOIN-16, AGG-11
+    """Judges go by digits of the comparison's id."""
+    rows, key = _comparisons(spark, sf_dir)
+    digit = lambda i: F.conv(F.substring("comparison_id", i, 1), 16, 10).cast("int") % 3
+    choice = lambda i: F.element_at(F.array(*map(F.lit, blind.CHOICES)), digit(i) + 1)
+    return blind.tallied(key, rows.select("comparison_id", choice(1).alias("relevance"), choice(2).alias("quality")), ["relevance", "quality"], ("plain", "loud"))
+
+
 _COMPONENTS = f"""c AS (SELECT 'n' || s_nationkey AS owner, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS index, (s_acctbal + 1000.0) AS gain, 40 + s_suppkey % 50 AS cost FROM supplier)"""
+_BLIND = """q AS (SELECT item_id || '-' || seed AS request_id, item_id AS case_id, CAST(seed AS INT) AS seed, text FROM benchmark, (SELECT unnest([11, 12, 13]) AS seed) s WHERE item_id % 5 <> 0),
+ w AS (SELECT *, ('0x' || substring(sha256('7' || chr(0) || request_id), 1, 2))::INT % 2 = 1 AS swapped FROM q), o AS (SELECT *, CASE WHEN swapped THEN '!' || text ELSE text END AS first, CASE WHEN swapped THEN text ELSE '!' || text END AS second FROM w),
+ c AS (SELECT *, substring(sha256('7' || chr(0) || request_id || chr(0) || first || chr(0) || second), 1, 24) AS comparison_id FROM o)"""
 _EDITED = "regexp_matches(text, '(?i)please|[?]')"
 SQL = {
     "book_runs": f"""WITH l AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, conv_id // 3 % 20 AS key, text FROM conversations),
@@ -92,7 +117,10 @@ SQL = {
         SELECT d.k, d.doc_id, d.s, CASE WHEN ok THEN seen || keys ELSE seen END, CASE WHEN ok THEN list_transform([1, 2, 3], lambda i: t[i] + CASE WHEN i = d.s THEN n ELSE 0 END) ELSE t END, ok
         FROM f JOIN d ON d.k = f.k + 1, LATERAL (SELECT (d.s = 3 OR t[d.s] < [3000, 6000, 0][d.s]) AND NOT list_has_any(seen, keys) AS ok) l)
       SELECT doc_id, ['a', 'b', 'c'][s] AS split, t[s] AS total FROM f WHERE hit""",
+    "blind_comparisons": f"WITH {_BLIND} SELECT comparison_id, request_id, case_id, seed, sha256(first) AS first, sha256(second) AS second FROM c",
+    "blind_tallies": f"""WITH {_BLIND}, j AS (SELECT swapped, unnest(['relevance', 'quality']) AS criterion, unnest([('0x' || comparison_id[1:1])::INT % 3, ('0x' || comparison_id[2:2])::INT % 3]) AS k FROM c)
+      SELECT criterion, count(*) FILTER (k < 2 AND (k = 1) = swapped) AS wins_a, count(*) FILTER (k < 2 AND (k = 1) <> swapped) AS wins_b, count(*) FILTER (k = 2) AS ties FROM j GROUP BY criterion""",
     "hash_sample": r"SELECT doc_id, sha256('sample-1' || chr(0) || doc_id) AS rank FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 2 ORDER BY rank, doc_id LIMIT 100",
 }
 
-QUERIES = {f.__name__: f for f in (book_runs, manifest_merge, canonical_first, greedy_prefixes, greedy_repush, open_split_dedup, hash_sample)}
+QUERIES = {f.__name__: f for f in (book_runs, manifest_merge, canonical_first, greedy_prefixes, greedy_repush, open_split_dedup, hash_sample, blind_comparisons, blind_tallies)}

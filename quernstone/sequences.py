@@ -11,6 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Marks of a tokenizer's first ids; words have ids from 16 on.
 MARKS = {"bos": 1, "eos": 2, "prompt": 3, "thought": 4, "poem": 5, "system": 6, "user": 7, "assistant": 8}
 WEIGHTS = {"de": 1, "en": 3, "es": 0, "fr": 2}
+#: Trained positions and rows of a batch at which a conversation stream may stop.
+STOP = (2000, 4)
 FIELDS = {"form": 4, "mood": 3, "theme": 5}
 
 
@@ -63,6 +65,11 @@ def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # PCK-2, FLT-13,
     return rows.select("row", _shown(F.col("ids")).alias("ids"), _bits(F.col("mask")).alias("mask"), "n_trained")
 
 
+def chat_rows_until(spark: SparkSession, sf_dir: str) -> DataFrame:  # PCK-2: whole conversations until 2,000 trained positions in batches of 4 rows
+    rows = encoding.rows_until(_chats(spark, sf_dir), "conv_id", 65, *STOP)
+    return rows.select("row", _shown(F.col("ids")).alias("ids"), _bits(F.col("mask")).alias("mask"), "n_trained")
+
+
 def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # PCK-1, WIN-9, SNK-4: each source's documents in rows of 129
     rows = _table(spark, sf_dir, "documents").select("doc_id", "source", encoding.continuation(word_ids(F.col("text")), MARKS).alias("s")).select("doc_id", "source", "s.*")
     return encoding.stride_rows(rows, "source", "doc_id", 129).select("source", "row", _shown(F.col("ids")).alias("ids"))
@@ -180,6 +187,10 @@ SQL = {
     "continuation_encoding": f"SELECT doc_id, {_SHOWN.format('[1] || w || [2]')} AS ids, CAST(len(w) + 1 AS BIGINT) AS n_trained FROM (SELECT doc_id, {_IDS.format('text')} AS w FROM documents) x",
     "chat_encoding": f"WITH {_CHAT} SELECT conv_id, {_SHOWN.format('ids')} AS ids, mask, len(ids) AS n_formatted, len(ids) - 1 AS n_input, {_MASKED} AS n_trained FROM x",
     "chat_rows": f"WITH {_CHAT}, s AS (SELECT 1 AS g, conv_id AS o, ids, mask FROM x), {_ROWS.format(src='s', step=64)} SELECT r AS row, {_SHOWN.format('ids')} AS ids, mask, {_MASKED} AS n_trained FROM f WHERE {_MASKED} > 0",
+    "chat_rows_until": f"""WITH {_CHAT}, s AS (SELECT 1 AS g, conv_id AS o, ids, mask FROM x), {_ROWS.format(src='s', step=64)}, n AS (SELECT r, ids, mask, {_MASKED} AS n FROM f),
+      c AS (SELECT *, sum(n) OVER w AS t, count(*) FILTER (n > 0) OVER w AS k FROM n WINDOW w AS (ORDER BY r)), e AS (SELECT sum(len(ids)) OVER (ORDER BY o) AS t FROM s),
+      h AS (SELECT min(r) AS h FROM c WHERE t >= {STOP[0]} AND k % {STOP[1]} = 0 AND r IN (SELECT (t - 1) // 64 - 1 FROM e))
+      SELECT r AS row, {_SHOWN.format('ids')} AS ids, mask, n AS n_trained FROM c, h WHERE r <= h AND n > 0""",
     "corpus_rows": f"WITH s AS (SELECT source AS g, doc_id AS o, [1] || {_IDS.format('text')} || [2] AS ids FROM documents), q AS (SELECT g, o, ids, repeat('1', len(ids)) AS mask FROM s), {_ROWS.format(src='q', step=128)} SELECT g AS source, r AS row, {_SHOWN.format('ids')} AS ids FROM f",
     "chunked_examples": f"WITH {_CHUNKS} SELECT doc_id, chunk, {_SHOWN.format('ids[s + 1:t]')} AS ids, CAST(t - greatest(p, s + 1) AS BIGINT) AS n_trained FROM c",
     "shifted_batches": f"""WITH {_CHUNKS}, d AS (SELECT *, max(t - s - 1) OVER (PARTITION BY doc_id // 16) AS m, CASE WHEN chunk = 0 THEN greatest(p - s, 0) ELSE 1 END AS b FROM c)
@@ -203,6 +214,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    conditional_encoding, continuation_encoding, chat_encoding, chat_rows, corpus_rows, chunked_examples, shifted_batches, pack_faults,
+    conditional_encoding, continuation_encoding, chat_encoding, chat_rows, chat_rows_until, corpus_rows, chunked_examples, shifted_batches, pack_faults,
     epoch_batches, whole_batches, batch_probe, resumed_batches, stream_states, fair_batches, spaced_positions, prompt_plan, scaled_exposure,
 )}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import records
-from quernstone.operators import budget, ranges, runs, selection
+from quernstone.operators import blind, budget, ranges, runs, selection
 
 pytestmark = pytest.mark.usefixtures("several_ranges")
 
@@ -155,3 +155,37 @@ def test_first_rows_by_id_as_text(spark):
 def test_running_values_of_nothing(spark, kind):
     df = ranges.dealt(spark.createDataFrame([], "g string, i long, v long"), ["g"], ["i"])
     assert ranges.running(df, ["g"], ["i"], kind, F.col("v"), "x").count() == 0
+
+
+def test_blind_comparisons_and_their_tallies(spark):
+    import hashlib
+
+    ids = [f"r{i}" for i in range(40)]
+    requests = spark.createDataFrame([(r, i // 3, i % 3, "evaluation" if i % 4 else "development") for i, r in enumerate(ids)], "request_id string, case_id long, seed int, partition string")
+    picked = [r for i, r in enumerate(ids) if i % 4]
+    a, b = (spark.createDataFrame([(r, f"{x} {r}") for r in picked], "request_id string, text string") for x in "ab")
+    rows, key = blind.compared(requests, a, b, 5, "evaluation", ("one", "two"))
+    names = {r["comparison_id"]: (r["A"], r["B"]) for r in key.collect()}
+    got = {r["request_id"]: r for r in rows.collect()}
+    for r in picked:
+        swapped = hashlib.sha256(f"5\0{r}".encode()).digest()[0] % 2 == 1
+        pair = (f"b {r}", f"a {r}") if swapped else (f"a {r}", f"b {r}")
+        cid = hashlib.sha256(f"5\0{r}\0{pair[0]}\0{pair[1]}".encode()).hexdigest()[:24]
+        assert (got[r]["comparison_id"], got[r]["first"], got[r]["second"]) == (cid, *pair) and names[cid] == (("two", "one") if swapped else ("one", "two"))
+    rng = random.Random(1)
+    judged = [(c, rng.choice("AB"), rng.choice(["A", "B", "tie"])) for c in sorted(names)]
+    df = spark.createDataFrame(judged, "comparison_id string, x string, y string")
+    tally = {r["criterion"]: (r["wins_a"], r["wins_b"], r["ties"]) for r in blind.tallied(key, df, ["x", "y"], ("one", "two")).collect()}
+    for k, c in ((1, "x"), (2, "y")):
+        won = [None if j[k] == "tie" else names[j[0]]["AB".index(j[k])] for j in judged]
+        assert tally[c] == (won.count("one"), won.count("two"), won.count(None))
+    for bad in (df.limit(5), df.unionByName(df.limit(1))):
+        with pytest.raises(ValueError, match="cover the comparisons"):
+            blind.tallied(key, bad, ["x", "y"], ("one", "two"))
+    with pytest.raises(ValueError, match="none of"):
+        blind.tallied(key, df.withColumn("y", F.lit("both")), ["x", "y"], ("one", "two"))
+    for wrong in (b.limit(3), b.unionByName(b.limit(1)), b.unionByName(spark.createDataFrame([("r0", "x")], b.schema))):
+        with pytest.raises(ValueError, match="cover the requests"):
+            blind.compared(requests, a, wrong, 5, "evaluation", ("one", "two"))
+    with pytest.raises(ValueError, match="there is none"):
+        blind.compared(requests, a.limit(0), b.limit(0), 5, "nothing", ("one", "two"))

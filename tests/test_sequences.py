@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import records
+from quernstone.functions import records, tokens
 from quernstone.operators import cursor, encoding, joins, measures, ranges, stream
 
 pytestmark = pytest.mark.usefixtures("several_ranges")
@@ -67,6 +67,65 @@ def _walk(scheduled):
     return [(r["objective"], r["epoch"], r["batch"]) for r in scheduled.orderBy("step").collect()]
 
 
+def _written(sequences, width, target, batch):
+    """A writer that appends sequence after sequence."""
+    ids, mask, rows, trained, at = [], [], [], 0, 0
+    for i, m in sequences:
+        ids, mask = ids + i, mask + m
+        while len(ids) >= width:
+            n = sum(mask[1:width])
+            if n:
+                rows.append((at, ids[:width], n))
+                trained += n
+            ids, mask, at = ids[width - 1 :], mask[width - 1 :], at + 1
+        if trained >= target and len(rows) % batch == 0:
+            return rows
+    return None
+
+
+def test_rows_until_equal_a_writer(spark):
+    for seed in range(6):
+        rng = random.Random(seed)
+        made = [(k, rng.choices(range(99), k=n), [rng.random() < 0.2 for _ in range(n)] if rng.random() < 0.6 else [False] * n) for k, n in enumerate(rng.choices((1, 4, 30), k=60))]
+        df = spark.createDataFrame(made, "o long, ids array<int>, mask array<boolean>").repartition(3)
+        want = _written([r[1:] for r in made], 8, 25, 3)
+        if want is None:
+            with pytest.raises(ValueError, match="ends before"):
+                encoding.rows_until(df, "o", 8, 25, 3)
+        else:
+            assert [(r["row"], r["ids"], r["n_trained"]) for r in encoding.rows_until(df, "o", 8, 25, 3).orderBy("row").collect()] == want
+    rows = encoding.stride_rows(df.withColumn("g", F.lit("g")), "g", "o", 8)
+    assert encoding.first_rows(rows, "g", 5).count() == 5
+    with pytest.raises(ValueError, match="'g' has"):
+        encoding.first_rows(rows, "g", 10**6)
+
+
+def test_numbers_of_packs(spark):
+    packs = spark.createDataFrame([(0,), (1,), (1,), (4,), (5,), (None,)], "pack_id long")
+    assert sorted((str(r["pack_id"]), r["fault"]) for r in encoding.number_faults(packs).collect()) == [("1", "repeated"), ("4", "not contiguous"), ("None", "no number")]
+    assert encoding.number_faults(spark.range(9).withColumnRenamed("id", "pack_id")).count() == 0
+
+
+def test_ids_of_a_tokenizer(spark):
+    texts = ["The cat sat.", "", None, "é ß 日本 \n\n x", "<|endoftext|> is text here", "word " * 3000]
+    df = spark.createDataFrame([(i, t, (t or "")[::-1]) for i, t in enumerate(texts)], "i int, t string, u string")
+    plain = tokens.loaded(tokens.default_tokenizer())
+    got = {r["i"]: (r["a"], r["b"]) for r in tokens.encode(df, {"t": "a", "u": "b"}).collect()}
+    assert got == {i: (None if t is None else plain.encode(t, add_special_tokens=False).ids, plain.encode((t or "")[::-1], add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    marks = tokens.marks(tokens.default_tokenizer())
+    assert min(marks.values()) == plain.get_vocab_size() and tokens.reserved(tokens.default_tokenizer()) == {50256}
+    made = tokens.encode(df, {"t": "a", "u": "b"}).where("a IS NOT NULL").select("i", encoding.conditional(F.col("b"), F.lit(None).cast("array<int>"), F.col("a"), marks).alias("s")).select("i", "s.*")
+    for r in made.collect():
+        a, b = got[r["i"]]
+        assert r["ids"] == [marks["bos"], marks["prompt"], *b, marks["poem"], *a, marks["eos"]]
+        # Whole, as input, and trained: p + r + 4, p + r + 3 and r + 1.
+        assert (len(r["ids"]), len(r["ids"]) - 1, sum(r["mask"])) == (len(a) + len(b) + 4, len(a) + len(b) + 3, len(a) + 1)
+    assert tokens.vocabulary_faults(made, "ids", "i").count() == 0
+    bad = spark.createDataFrame([(1, [5, 50256]), (2, [99_999]), (3, [7])], "i int, ids array<int>")
+    assert {tuple(r) for r in tokens.vocabulary_faults(bad, "ids", "i").collect()} == {(1, "reserved"), (2, "beyond_vocabulary")}
+    assert tokens.encode(df.limit(0), {"t": "a"}).count() == 0
+
+
 def test_stream_equals_a_walk_of_batch_after_batch(spark):
     rng = random.Random(9)
     for weights in ({"a": "0.1", "b": 0.7, "c": 1}, {"a": 3, "b": 1, "c": 0}, {"a": 1, "b": 1, "c": "2.5"}):
