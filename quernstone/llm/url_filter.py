@@ -66,7 +66,7 @@ def best_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 @F.pandas_udf(StringType())
 def _unescaped(text: pd.Series) -> pd.Series:
-    """Character references carried out; only targets that have some come here."""
+    """Character references carried out; only targets of links that count come here."""
     return text.map(unescape, na_action="ignore")
 
 
@@ -128,10 +128,8 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     canonical = (F.col("t.kind") == "link") & F.array_contains("t.rel", "canonical")
     refresh = (F.col("t.kind") == "meta") & (F.col("t.equiv") == "refresh")
     tags = tags.where(canonical | refresh).select("url", "base", F.when(canonical, F.col("t.href")).otherwise(F.regexp_extract("t.content", _TO, 1)).alias("to"))
-    marked = F.col("to").contains("&") | F.coalesce(F.col("base").contains("&"), F.lit(False))
-    plain, coded = tags.where(~marked), tags.where(marked)
-    tags = plain.unionByName(coded.withColumn("to", _unescaped("to")).withColumn("base", _unescaped("base")))
-    tags = barrier(tags.select("url", _target(F.col("base")).alias("base"), _target(F.col("to")).alias("to")).where("to <> ''"), "seen", F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url")), "url", "to")
+    tags = tags.select("url", _target(_unescaped("base")).alias("base"), _target(_unescaped("to")).alias("to"))
+    tags = barrier(tags.where("to <> ''"), "seen", F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url")), "url", "to")
     tags = barrier(tags, "full", _resolved(F.col("to"), F.col("seen")), "url")
     edges = tags.where(F.col("full").contains("://")).select(_key(F.col("url")).alias("a"), _key(F.col("full")).alias("b"))
     if redirects is not None:
