@@ -9,8 +9,10 @@ weight. A logistic regression over words and word beginnings is then trained on
 the model's posterior labels, and it alone scores documents.
 
 Training reads at most about ``SAMPLE`` labelled rows of each class, by a hash of
-doc_id, from rows outside the held-out fifth, and at most ``MOST_WORDS`` features of each. The chosen labels are broadcast, so
-no text is shuffled. Everything else covers all rows.
+doc_id, from rows outside the held-out fifth. The chosen labels are broadcast, so
+no text is shuffled. Features of the chosen texts, however long, are counted where they
+are; what reaches the driver is the counts of the best features, and which of them each
+chosen text has. Everything else covers all rows.
 
 Defined results: null, empty and wordless texts get the score of no feature.
 Without toxic training rows the lexicon votes alone. Null labels don't count, and
@@ -21,8 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 from .language_id import held_out
 
 #: Labelled training rows of a class, about, at most.
@@ -38,8 +38,6 @@ SAMPLE = 1500
 #: Pattern voters and classifier features at most.
 MOST_VOTERS, MOST_FEATURES = 120, 600
 BEGINNING = 4
-#: Features of a training text that are read, at most: the sample is bounded in bytes, too.
-MOST_WORDS = 5_000
 SHRINK = 0.0005
 #: Votes of voters that correlate more than this, given the label, are shared.
 TIED = 0.3
@@ -59,40 +57,47 @@ def features(text: str | None) -> set[str]:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [features(t) for t in batch.column(2).to_pylist()]
-        kept = [sorted(f) if len(f) <= MOST_WORDS else sorted(sorted(f, key=lambda w: zlib.crc32(w.encode()))[:MOST_WORDS]) for f in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string()))], names=["doc_id", "toxic", "found"])
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = sorted(features(text))
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(found, pa.string())], names=["row", "feature"])
 
 
-def _surely_tied(toxic: Counter, clean: Counter, n1: float, n0: float) -> dict[str, float]:
-    """Log-likelihood ratios of features commoner on toxic rows than chance explains:
-    beyond what the best of so many unrelated features would reach (twice the logarithm of their number)."""
-    often = {f: k for f, k in toxic.items() if k + clean[f] >= 3}
-    least, share, found = 2 * math.log(max(2, sum(k + toxic[f] >= 3 for f, k in clean.items()) + len(often))), n1 / (n1 + n0), {}
-    for f, k in often.items():
-        n = k + clean[f]
-        g = 2 * (k * math.log(k / (n * share)) + (clean[f] * math.log(clean[f] / (n * (1 - share))) if clean[f] else 0))
-        if k > 2 * n * share and g > least:
-            found[f] = g
-    return found
+def _counts(found: DataFrame, labels: dict[int, bool]) -> tuple[DataFrame, float, float, float]:
+    """``feature, k, rest`` (rows with it that are toxic, and others), how many rows are of each
+    class, and how large a log-likelihood ratio the best of as many unrelated features
+    would reach: twice the logarithm of their number."""
+    rows = found.sparkSession.createDataFrame(list(labels.items()), "row long, toxic boolean")
+    marked = found.join(F.broadcast(rows), "row").groupBy("feature").agg(F.count_if("toxic").alias("k"), F.count_if(~F.col("toxic")).alias("rest"))
+    often = marked.where("k + rest >= 3")
+    many = often.agg(F.count_if(F.col("k") > 0).alias("a"), F.count_if(F.col("rest") > 0).alias("b")).first()
+    n1 = max(1, sum(labels.values()))
+    return marked, n1, max(1, len(labels) - n1), 2 * math.log(max(2, many["a"] + many["b"]))
 
 
-def choose_voters(sets: list[set[str]], labels: np.ndarray) -> list[str]:
+def _surely_tied(n1: float, n0: float, least: float) -> F.Column:
+    """Whether a feature is commoner on toxic rows than chance explains."""
+    k, rest, share = F.col("k"), F.col("rest"), n1 / (n1 + n0)
+    n = k + rest
+    g = 2 * (k * F.log(k / (n * share)) + F.when(rest > 0, rest * F.log(rest / (n * (1 - share)))).otherwise(0.0))
+    return (k > 0) & (n >= 3) & (k > 2 * n * share) & (g > least)
+
+
+def choose_voters(found: DataFrame, labels: dict[int, bool]) -> list[str]:
     """The lexicon, and features far commoner on toxic rows than on clean ones."""
-    toxic, clean = Counter(), Counter()
-    for found, label in zip(sets, labels, strict=True):
-        (toxic if label else clean).update(found)
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    tied = _surely_tied(toxic, clean, n1, n0)
-    ranked = []
-    for f in tied:
-        ratio = math.log((toxic[f] + 0.5) / n1) - math.log((clean[f] + 0.5) / n0)
-        if ratio > 2:
-            ranked.append((toxic[f] * ratio, f))
-    patterns = [f for _, f in sorted(ranked, reverse=True)[:MOST_VOTERS]]
+    marked, n1, n0, least = _counts(found, labels)
+    ratio = F.log((F.col("k") + 0.5) / n1) - F.log((F.col("rest") + 0.5) / n0)
+    ranked = marked.where(_surely_tied(n1, n0, least)).where(ratio > 2).orderBy((F.col("k") * ratio).desc(), F.col("feature").desc())
+    patterns = [r["feature"] for r in ranked.limit(MOST_VOTERS).collect()]
     return [*LEXICON, *(p for p in patterns if p not in LEXICON)]
 
 
+def present(found: DataFrame, names: list[str], rows: list[int]) -> list[set[str]]:
+    """Which of a few features each row has."""
+    own = found.where(F.col("feature").isin(names)).groupBy("row").agg(F.collect_set("feature").alias("has"))
+    held = {r["row"]: set(r["has"]) for r in own.collect()}
+    return [held.get(r, set()) for r in rows]
+
+
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior probability of the label for each row of 0/1 votes.
 
@@ -117,20 +122,18 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.nd
     return post
 
 
-def fit_linear(sets: list[set[str]], target: np.ndarray, steps: int = 400) -> dict[str, float]:
-    """Logistic regression on feature presence; the bias has the empty name."""
-    n = max(1, len(sets))
-    toxic, all_rows = Counter(), Counter()
-    for found, t in zip(sets, target, strict=True):
-        all_rows.update(found)
-        if t > 0.5:
-            toxic.update(found)
-    n1 = max(1, int((target > 0.5).sum()))
+def choose_features(found: DataFrame, labels: dict[int, bool]) -> list[str]:
+    """Features for the classifier, and words of the lexicon, by how much they tell."""
+    marked, n1, n0, least = _counts(found, labels)
     # Only features tied to the label: a long clean text would add up the noise of others.
-    sure = _surely_tied(toxic, all_rows - toxic, n1, max(1, n - n1))
-    tie = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((all_rows[f] - k + 0.5) / (n - n1 + 1)) for f, k in toxic.items() if f in sure or f in LEXICON}
-    score = {f: toxic[f] * t for f, t in tie.items() if t > 2}
-    names = sorted(score, key=lambda f: (-score[f], f))[:MOST_FEATURES]
+    tie = F.log((F.col("k") + 0.5) / (n1 + 1)) - F.log((F.col("rest") + 0.5) / (len(labels) - n1 + 1))
+    sure = marked.where(F.col("k") > 0).where(_surely_tied(n1, n0, least) | F.col("feature").isin(list(LEXICON))).where(tie > 2)
+    return [r["feature"] for r in sure.orderBy((F.col("k") * tie).desc(), "feature").limit(MOST_FEATURES).collect()]
+
+
+def fit_linear(names: list[str], sets: list[set[str]], target: np.ndarray, steps: int = 400) -> dict[str, float]:
+    """Logistic regression on the presence of features; the bias has the empty name."""
+    n, n1 = max(1, len(sets)), max(1, int((target > 0.5).sum()))
     index = {f: i for i, f in enumerate(names)}
     rows, cols = [], []
     for i, found in enumerate(sets):
@@ -159,18 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)
     chosen = usable.where(chance < share)  # about 2 * sample rows at most, whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # Features are found where the texts are; of a text, the MOST_WORDS least by a hash reach the driver.
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(_found, "doc_id long, toxic int, found array<string>")
-    got = found.orderBy("doc_id", F.xxhash64("found"), "toxic").limit(4 * sample).collect()  # the limit binds only where doc_ids repeat
-    sets, y = [set(r["found"]) for r in got], np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
-    if not got or not y.any():
+    rows = rows.select(F.xxhash64("doc_id", "text", "toxic").alias("row"), "doc_id", "toxic", "text")
+    found = cut(rows.select("row", "text").mapInArrow(_found, "row long, feature string").distinct(), "toxicity-features")
+    thin = rows.select("row", "doc_id", "toxic").distinct().orderBy("doc_id", "row").limit(4 * sample).collect()  # the limit binds only where doc_ids repeat
+    ids, labels = [r["row"] for r in thin], {r["row"]: r["toxic"] == 1 for r in thin}
+    if not any(labels.values()):
         return {"": -3.0} | dict.fromkeys(LEXICON, 4.0)
-    voters = choose_voters(sets, y)
-    votes = np.array([[f in found for f in voters] for found in sets], dtype=float)
+    voters = choose_voters(found, labels)
+    votes = np.array([[f in has for f in voters] for has in present(found, voters, ids)], dtype=float)
     # The voters' majority starts the model where voters speak, the label elsewhere.
-    spoken = votes.sum(axis=1) > 0
+    spoken, y = votes.sum(axis=1) > 0, np.array([float(labels[r]) for r in ids])
     post = label_model(votes, np.where(spoken, 0.9, 0.5 * y))
-    return fit_linear(sets, post)
+    names = choose_features(found, dict(zip(ids, (post > 0.5).tolist(), strict=True)))
+    return fit_linear(names, present(found, names, ids), post)
 
 
 def _scores(model: dict[str, float]) -> Callable:
