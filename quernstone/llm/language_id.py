@@ -114,12 +114,18 @@ class Space:
         return out
 
 
+@lru_cache(1)
+def _space() -> Space:
+    """A worker's vectors outlive a task; they depend on the letters alone."""
+    return Space()
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    space, sums = Space(), {}
+    space, sums = _space(), {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             v = space.bundle(text)
@@ -151,7 +157,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 
 def _judge(names: list[str], prototypes: np.ndarray, text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Space()
+        space = _space()
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(text_at).to_pylist():
@@ -181,13 +187,21 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> tuple[DataFrame,
     return judged.toDF(*docs.columns, lang, score), lang, score
 
 
-def with_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: those with a letter."""
+def with_known_language(docs: DataFrame, languages: set[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language can be told with a score of ``least`` or more, and is one
+    of ``languages`` if those are given. Texts without a letter have no language. By default
+    nothing else is rejected. Without labelled rows there are no prototypes, so no language but
+    ``und``: then letters decide, and asking for languages is an error."""
     model = train(docs)
     if not model:
+        if languages is not None:
+            raise ValueError("no labelled text to learn languages from")
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged, lang, _ = identify(docs, model)
-    return judged.where(F.col(lang) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged, lang, score = identify(docs, model)
+    kept = (F.col(lang) != UNKNOWN) & (F.col(score) >= least)
+    if languages is not None:
+        kept &= F.col(lang).isin(sorted(languages))
+    return judged.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

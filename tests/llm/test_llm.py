@@ -459,3 +459,14 @@ def test_url_rules_that_tie(spark):
     rules = (("b.org", "/x", "block"), ("b.org", "/x", "allow"), ("org", "/xaa", "block"))
     got = url_filter.judge(spark.createDataFrame([(1, "http://b.org/xaay", None)], "page_id long, url string, html string"), rules).first()
     assert (got["rule"], got["verdict"]) == ("b.org/x", "allow")
+
+
+def test_language_stage_keeps_by_language_and_score(spark):
+    rows = [(i, t, g, None, 0, "k", "c", 1) for i, (t, g) in enumerate([("the cat sat on the mat and the dog", "en"), ("der hund und die katze sind nicht da", "de")] * 20 + [("the dog and the cat", None), ("die katze und der hund", None), ("123", None), (None, None)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ids = lambda df: sorted(r["doc_id"] for r in df.where("doc_id >= 40").collect())
+    assert ids(language_id.with_known_language(docs)) == [40, 41]
+    assert ids(language_id.with_known_language(docs, {"de"})) == [41]
+    assert ids(language_id.with_known_language(docs, least=0.999)) == []
+    with pytest.raises(ValueError, match="labelled"):
+        language_id.with_known_language(docs.where("lang IS NULL"), {"de"})
