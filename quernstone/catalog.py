@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import artifacts, gates, ordered, orders, protection, relations, sequences
+from . import artifacts, finalize, gates, ordered, orders, protection, relations, sequences
 from .functions import text as text_functions
 from .operators import graph, selection, similarity
 from .plans import queries as plans
@@ -117,8 +117,8 @@ OPERATORS_SQL = {
 
 
 def queries() -> dict:
-    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES | gates.QUERIES | orders.QUERIES | ordered.QUERIES | artifacts.QUERIES | protection.QUERIES
+    return {p.__name__: _planned(p) for p in plans.ALL} | OPERATORS | sequences.QUERIES | relations.QUERIES | gates.QUERIES | orders.QUERIES | ordered.QUERIES | artifacts.QUERIES | protection.QUERIES | finalize.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL | gates.SQL | ordered.SQL | artifacts.SQL | protection.SQL | {"longest_overlap": _LONGEST}
+    return {p.__name__: plans.__dict__[p.__name__](Duck) for p in plans.ALL} | OPERATORS_SQL | sequences.SQL | relations.SQL | gates.SQL | ordered.SQL | artifacts.SQL | protection.SQL | finalize.SQL | {"longest_overlap": _LONGEST}

@@ -6,6 +6,8 @@ is read next, and where reading goes on later, is in ``stream``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +62,28 @@ def hash_choice(digest: Column, byte: int, options: list[str]) -> Column:
 
 
 def mixed_radix(spark: SparkSession, start: int, stop: int, sizes: dict[str, int], seed: str) -> DataFrame:
-    """A row an index: digits of the index in the radices ``sizes``, each shifted by a hash of
-    seed and the digits above it, so combinations never collide within a block and each value
-    of a field comes equally often."""
-    block = 1
-    for n in sizes.values():
-        block *= n
-    out = spark.range(start, stop).select(F.col("id").alias("index"), F.expr(f"id div {block}").alias("block"), F.expr(f"id % {block}").alias("rest"))
+    """The plan of the indices from ``start`` to before ``stop``."""
+    return planned(spark.range(start, stop).select(F.col("id").alias("index")), sizes, seed)
+
+
+def planned(rows: DataFrame, sizes: dict[str, int], seed: str) -> DataFrame:
+    """Adds a value of each field to rows with an ``index``: digits of the index in the radices ``sizes``,
+    each shifted by a hash of seed and block, so combinations never collide within a block and each
+    value of a field comes equally often."""
+    block = math.prod(sizes.values())
+    out = rows.withColumn("block", F.expr(f"index div {block}")).withColumn("rest", F.expr(f"index % {block}"))
     below = block
     for name, n in sizes.items():
         below //= n
         shift = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(name), F.col("block").cast("string")), 256), 1, 7), 16, 10).cast("long")
         out = out.withColumn(name, F.pmod(F.expr(f"rest div {below}") + shift, F.lit(n)).cast("int")).withColumn("rest", F.expr(f"rest % {below}"))
     return out.drop("rest")
+
+
+def planned_once(rows: DataFrame, key: str, sizes: dict[str, int], seed: str) -> DataFrame:
+    """``planned`` for a table by its key, where no combination may come twice: more rows than there are is an error."""
+    indexed = places(rows, [], [key], "index")
+    capacity = math.prod(sizes.values())
+    if indexed.where(F.col("index") >= capacity).limit(1).count():
+        raise ValueError(f"there are only {capacity} combinations")
+    return planned(indexed, sizes, seed)

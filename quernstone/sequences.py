@@ -141,9 +141,10 @@ def spaced_positions(spark: SparkSession, sf_dir: str) -> DataFrame:  # WIN-14,
     return rows.select("doc_id", shown.alias("positions"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), shown), 256).alias("commitment"))
 
 
-def prompt_plan(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-19, PLN-2, PLN-1, XFN-20, TOP-4
-    plan = cursor.mixed_radix(spark, 30, 330, FIELDS, "plan-1")
-    digest = F.sha2(F.concat_ws(":", F.lit("brief"), F.col("index").cast("string")), 256)
+def prompt_plan(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-19, PLN-2, PLN-1, XFN-20, TOP-4: a form, mood, theme, lane and brief for every part
+    parts = cursor.places(_table(spark, sf_dir, "part").select("p_partkey"), [], ["p_partkey"], "index")
+    plan = cursor.planned(parts, FIELDS, "plan-1")
+    digest = F.sha2(F.concat_ws(":", F.lit("brief"), F.col("p_partkey").cast("string")), 256)
     return plan.select("*", cursor.lanes(F.col("index"), {"a": 3, "b": 2, "c": 1}).alias("lane"), cursor.hash_choice(digest, 3, ["sea", "hill", "road"]).alias("brief"))
 
 
@@ -206,10 +207,10 @@ SQL = {
     "fair_batches": f"WITH RECURSIVE {_STREAM} SELECT step, objective, epoch, batch, due FROM y WHERE step >= 0",
     "spaced_positions": f"""WITH {_EXAMPLES}, a AS (SELECT doc_id, CASE WHEN n - p <= 5 THEN range(p, n) ELSE list_transform(range(0, 5), lambda i: p + (i * (n - p - 1)) // 4) END AS pos FROM e)
       SELECT doc_id, array_to_string(pos, ',') AS positions, sha256(doc_id || ':' || array_to_string(pos, ',')) AS commitment FROM a""",
-    "prompt_plan": """WITH i AS (SELECT unnest(range(30, 330)) AS index), d AS (SELECT index, index // 60 AS block, index % 60 AS r FROM i),
+    "prompt_plan": """WITH i AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part), d AS (SELECT p_partkey, index, index // 60 AS block, index % 60 AS r FROM i),
       s AS (SELECT *, ('0x' || substring(sha256('plan-1:form:' || block), 1, 7))::BIGINT AS f, ('0x' || substring(sha256('plan-1:mood:' || block), 1, 7))::BIGINT AS m, ('0x' || substring(sha256('plan-1:theme:' || block), 1, 7))::BIGINT AS t FROM d)
-      SELECT index, block, CAST((r // 15 + f) % 4 AS INT) AS form, CAST((r % 15 // 5 + m) % 3 AS INT) AS mood, CAST((r % 5 + t) % 5 AS INT) AS theme, ['a', 'a', 'a', 'b', 'b', 'c'][index % 6 + 1] AS lane,
-        ['sea', 'hill', 'road'][('0x' || substring(sha256('brief:' || index), 7, 2))::INT % 3 + 1] AS brief FROM s""",
+      SELECT p_partkey, index, block, CAST((r // 15 + f) % 4 AS INT) AS form, CAST((r % 15 // 5 + m) % 3 AS INT) AS mood, CAST((r % 5 + t) % 5 AS INT) AS theme, ['a', 'a', 'a', 'b', 'b', 'c'][index % 6 + 1] AS lane,
+        ['sea', 'hill', 'road'][('0x' || substring(sha256('brief:' || p_partkey), 7, 2))::INT % 3 + 1] AS brief FROM s""",
     "scaled_exposure": "SELECT conv_id, array_to_string(list_sort(list_distinct(list(greatest(1, CAST(round_even(length(text) * 3 / 8.0, 0) AS BIGINT))))), ',') AS steps FROM conversations GROUP BY conv_id",
 }
 

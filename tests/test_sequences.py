@@ -215,6 +215,14 @@ def test_prompt_plan_is_balanced_and_free_of_collisions(spark):
     assert len(set(rows)) == 60 and all(sum(r[0] == v for r in rows) == 15 for v in range(4))
 
 
+def test_a_plan_without_repeats_has_an_end(spark):
+    rows = spark.range(60).select((F.col("id") * 7).alias("part"))
+    got = cursor.planned_once(rows, "part", {"a": 4, "b": 3, "c": 5}, "s").collect()
+    assert len({(r["a"], r["b"], r["c"]) for r in got}) == 60
+    with pytest.raises(ValueError, match="only 59"):
+        cursor.planned_once(rows, "part", {"a": 59}, "s")
+
+
 def test_matches_equal_brute_force(spark):
     rng = random.Random(8)
     text = lambda: [str(rng.randrange(25)) for _ in range(rng.randrange(0, 70))]
@@ -233,6 +241,12 @@ def test_matches_equal_brute_force(spark):
     assert got == want
 
 
+def test_wrong_spans_are_found(spark):
+    blocks = [("a b\nc", 0, 3, "a b"), ("a b\nc", 4, 5, "x"), ("a b\nc", 1, 3, "a b")]
+    df = spark.createDataFrame(blocks, "t string, start_char int, end_char int, block string")
+    assert [r["block"] for r in records.span_faults(df, "t").orderBy("block").collect()] == ["a b", "x"]
+
+
 def test_sketch_hash_wraps_like_int64(spark):
     values = [0, 1, -7, 65_000, 65_000 * (2**31 - 1) + 12, 2**62]
     wrap = lambda x: (x + 2**63) % 2**64 - 2**63
