@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, words
-from ..plans.tables import stored
-from .similarity import DENOMINATOR, NUMERATOR, WIDTH
+from ..functions.text import words
+from .similarity import DENOMINATOR, NUMERATOR, counted, meeting, searched, signatures
 
 
 def example_id(*fields: Column) -> Column:
@@ -99,49 +98,30 @@ def order_faults(rows: DataFrame, order: str, key: str, parts: str) -> DataFrame
 # -- lexical matches of one table with another ---------------------------------------
 
 
-def _signed(rows: DataFrame, tag: str) -> DataFrame:
-    """``sid, norm, n, set`` of each distinct normalised text of ``id, text``; shingles are hashed where they are made."""
-    norm = rows.select("id", F.array_join(words(F.coalesce(F.col("text"), F.lit(""))), " ").alias("norm")).groupBy("norm").agg(F.min("id").alias("sid"))
-    # Longs, as sets of structs would be compared pair by pair.
-    grams = F.transform(shingles(F.split("norm", " "), WIDTH), lambda g: F.xxhash64(g))
-    return stored(norm.select("sid", "norm", F.explode(F.array(grams)).alias("set")).select("sid", "norm", F.array_distinct("set").alias("set")).withColumn("n", F.size("set")), tag)
-
-
-def _heads(sets: DataFrame, df: DataFrame) -> DataFrame:
-    """The n - ceil(4n/5) + 1 rarest shingles of each set: one of them is in any set at least as large that matches."""
-    each = sets.select("sid", "n", F.explode("set").alias("g")).join(df, "g")  # a shingle of one side only is in no match
-    ranked = each.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    need = F.floor((F.lit(NUMERATOR) * F.col("n") + DENOMINATOR - 1) / DENOMINATOR).cast("int")
-    reach = F.greatest(F.col("n") - need + 1 - (F.col("n") - F.size("gs")), F.lit(0))
-    return ranked.where(F.size("gs") >= need).select("sid", "n", F.explode(F.slice("gs", F.lit(1), reach)).alias("h")).select("sid", "n", F.col("h.g").alias("g"))
-
-
 def find_matches(queries: DataFrame, references: DataFrame) -> DataFrame:
     """``query_id, reference_id, metric, score, shared, denominator`` for every query text and
     reference text (both ``id, text``) that match: equal after normalising, else by Jaccard of
     word 5-shingles, else by containment, at 4/5. Equal texts of a side share its least id.
 
     The smaller set of a matching pair has one of its rarest shingles in the larger one, so
-    each side's heads meet the other side's sets; counts follow on full sets."""
-    q, r = _signed(queries, "match-queries"), _signed(references, "match-references")
-    both = q.select(F.explode("set").alias("g"), F.lit(1).alias("q"), F.lit(0).alias("r")).unionByName(r.select(F.explode("set").alias("g"), F.lit(0).alias("q"), F.lit(1).alias("r")))
-    df = both.groupBy("g").agg(F.sum("q").alias("q"), F.sum("r").alias("r")).where("q > 0 AND r > 0").select("g", (F.col("q") + F.col("r")).alias("df"))
-    df = stored(df, "match-shared")
-    post = lambda s: s.select(F.col("sid").alias("other"), F.col("n").alias("m"), F.explode("set").alias("g")).join(df, "g", "left_semi")
-    small_q = _heads(q, df).join(post(r), "g").where("n <= m").select(F.col("sid").alias("x"), F.col("other").alias("y"))
-    small_r = _heads(r, df).join(post(q), "g").where("n <= m").select(F.col("other").alias("x"), F.col("sid").alias("y"))
-    pairs = small_q.unionByName(small_r).distinct()
-    left = q.select(F.col("sid").alias("x"), F.col("norm").alias("norm_x"), F.col("set").alias("set_x"))
-    right = r.select(F.col("sid").alias("y"), F.col("norm").alias("norm_y"), F.col("set").alias("set_y"))
-    rows = pairs.join(left, "x").join(right, "y").select(
-        "x", "y", (F.col("norm_x") == F.col("norm_y")).alias("same"), F.size("set_x").alias("n"), F.size("set_y").alias("m"), F.size(F.array_intersect("set_x", "set_y")).cast("long").alias("shared")
-    )
+    each side's heads meet the other side's sets; counts follow on full sets. Texts are numbered,
+    odd ones are references: both sides are dealt by shingle together, and their ids join the matches."""
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    q, r = (signatures(rows.select("id", text), "id", "text", side) for side, rows in enumerate((queries, references)))
+    odd = lambda k: F.col(k) % 2 == 1
+    posted, heads, sets = searched(q.select("k", "norm").unionByName(r.select("k", "norm")), "odd > 0 AND odd < df")
+    pairs = meeting(heads, posted, odd("a.k") != odd("b.k"))
+    rows = counted(pairs, sets.withColumn("sid", F.col("k"))).drop("a", "b")
+    rows = rows.select(F.when(odd("x"), F.col("y")).otherwise(F.col("x")).alias("q"), F.when(odd("x"), F.col("x")).otherwise(F.col("y")).alias("r"), F.col("nx").alias("n"), F.col("ny").alias("m"), F.col("c").alias("shared"))
+    name = lambda rows, k, out: rows.select(F.col("k").alias(k), F.col("sid").alias(out), F.sha2("norm", 256).alias(f"norm_{k}"))
+    rows = rows.join(name(q, "q", "query_id"), "q").join(name(r, "r", "reference_id"), "r")
     union, least = F.col("n") + F.col("m") - F.col("shared"), F.least("n", "m")
-    jaccard, contained = DENOMINATOR * F.col("shared") >= NUMERATOR * union, DENOMINATOR * F.col("shared") >= NUMERATOR * least
-    metric = F.when(F.col("same"), "normalized_exact").when(jaccard, "shingle_jaccard").when(contained, "shingle_containment")
-    denominator = F.when(F.col("same"), F.col("shared")).when(jaccard, union).otherwise(least).cast("long")
-    rows = rows.select(F.col("x").alias("query_id"), F.col("y").alias("reference_id"), metric.alias("metric"), "shared", denominator.alias("denominator"))
-    return rows.where("metric IS NOT NULL").withColumn("score", F.col("shared") / F.col("denominator"))
+    jaccard = DENOMINATOR * F.col("shared") >= NUMERATOR * union
+    same = F.col("norm_q") == F.col("norm_r")
+    metric = F.when(same, "normalized_exact").when(jaccard, "shingle_jaccard").otherwise("shingle_containment")
+    denominator = F.when(same, F.col("shared")).when(jaccard, union).otherwise(least).cast("long")
+    rows = rows.select("query_id", "reference_id", metric.alias("metric"), "shared", denominator.alias("denominator"))
+    return rows.withColumn("score", F.col("shared") / F.col("denominator"))
 
 
 def best_matches(matches: DataFrame) -> DataFrame:
