@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +39,22 @@ def rights_fault(rights: Column, evidence: Column, allow_synthetic: bool) -> Col
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts(lengths: pd.Series) -> pd.Series:
+    """Where each of consecutive runs begins."""
+    return lengths.map(lambda n: None if n is None else (np.cumsum(n, dtype=np.int32) - n).astype(np.int32))
+
+
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, index, start_char, end_char, block``: runs of lines without a blank one, with their
     places (0-based code points); a text without any is one block."""
     spans = F.regexp_extract_all(F.col(text), F.lit(r"(?s)((?:[^\n]*\S[^\n]*(?:\n|\z))+|(?:[^\n\S]*\n)+|[^\n\S]+\z)"), F.lit(1))
-    rows = docs.select(key, text, F.posexplode(spans).alias("span_no_", "span_"), spans.alias("all_"))
-    before = F.aggregate(F.slice("all_", F.lit(1), F.col("span_no_")), F.lit(0), lambda acc, s: acc + F.length(s))
-    body = F.regexp_replace("span_", r"\n\z", "")
-    rows = rows.select(key, before.alias("start_char"), body.alias("block")).where(F.trim(F.regexp_replace("block", r"\s+", " ")) != "")
+    # Places are added up once along a text's runs, which share no row with it.
+    runs = docs.select(key, F.explode(F.array(spans)).alias("spans_"))
+    starts = _starts(F.transform("spans_", F.length))
+    rows = runs.select(key, F.explode(F.arrays_zip(F.col("spans_").alias("span"), starts.alias("start"))).alias("r"))
+    body = F.regexp_replace("r.span", r"\n\z", "")
+    rows = rows.select(key, F.col("r.start").alias("start_char"), body.alias("block")).where(F.trim(F.regexp_replace("block", r"\s+", " ")) != "")
     return rows.withColumn("end_char", F.col("start_char") + F.length("block"))
 
 
@@ -54,6 +63,26 @@ def span_faults(blocks: DataFrame, text: str) -> DataFrame:
     return blocks.where(F.substring(F.col(text), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) != F.col("block"))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _wrong(texts: pd.Series, starts: pd.Series, ends: pd.Series, blocks: pd.Series) -> pd.Series:
+    """Which blocks a text doesn't hold at their places: slices by code point, each as long as its block."""
+    return pd.Series([[t[i:j] != b for i, j, b in zip(*at, strict=True)] for t, *at in zip(texts, starts, ends, blocks, strict=True)], dtype=object)
+
+
+def misplaced(blocks: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``span_faults`` of blocks by their documents: a document's blocks meet its text in one row, not a copy of it each."""
+    places = blocks.groupBy(key).agg(F.collect_list(F.struct("start_char", "end_char", "block")).alias("b"))
+    rows = places.join(docs.where(F.col(text).isNotNull()).select(key, text), key)
+    rows = rows.select(key, F.explode(F.arrays_zip("b", _wrong(F.col(text), F.col("b.start_char"), F.col("b.end_char"), F.col("b.block")).alias("wrong"))).alias("r"))
+    return rows.where("r.wrong").select(key, "r.b.*")
+
+
+def mean_in_order(values: Column) -> Column:
+    """The mean of an array's doubles, added from its front; nulls don't count."""
+    told = F.filter(values, lambda v: v.isNotNull())
+    return F.aggregate(told, F.lit(0.0), lambda acc, v: acc + v) / F.nullif(F.size(told), F.lit(0))
+
+
 def document_hashes(key: Column, work: Column, text: Column) -> Column:
     return F.struct(F.sha2(F.concat_ws("\0", key, work, text), 256).alias("document"), F.sha2(text, 256).alias("raw"), F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 256).alias("cleaned"))
 

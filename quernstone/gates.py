@@ -34,7 +34,7 @@ def paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:  # PRJ-5, X
 
 def block_span_faults(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-29; none must come
     rows = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"\. ", ".\n\n").alias("text"))
-    return records.span_faults(records.paragraphs(rows, "doc_id", "text").join(rows, "doc_id"), "text").agg(F.count(F.lit(1)).alias("n_faults"))
+    return records.misplaced(records.paragraphs(rows, "doc_id", "text"), rows, "doc_id", "text").agg(F.count(F.lit(1)).alias("n_faults"))
 
 
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-7
