@@ -32,19 +32,18 @@ def geometry_by_prefix(pairs: DataFrame, name: str, one: str, two: str) -> DataF
     return out.withColumn("cosine", F.when((F.col("norm_one") > 0) & (F.col("norm_two") > 0), F.col("dot") / (F.col("norm_one") * F.col("norm_two"))))
 
 
-def _log_softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    total = F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
-    return F.transform(v, lambda x: x.cast("double") - top - total)
-
-
 def drift(pairs: DataFrame, group: str, reference: str, candidate: str) -> DataFrame:
     """How far candidates are from their references: mean squared error, cosine distance of
     all values together, symmetric KL of their softmaxes, greatest difference."""
-    rows = pairs.select(group, F.col(reference).alias("r"), F.col(candidate).alias("c"), _log_softmax(F.col(reference)).alias("p"), _log_softmax(F.col(candidate)).alias("q"))
-    gap = F.zip_with("r", "c", lambda x, y: y.cast("double") - x.cast("double"))
+    # Log-softmaxes differ by r - c and a constant, which weighs nothing as both softmaxes add up to 1. The
+    # greatest values are a column of their own, or they would be sought again for each value.
+    rows = pairs.select(group, F.col(reference).cast("array<double>").alias("r"), F.col(candidate).cast("array<double>").alias("c"))
+    rows = rows.select(group, "r", "c", F.explode(F.array(F.struct(F.array_max("r").alias("r"), F.array_max("c").alias("c")))).alias("most"))
+    gap = F.zip_with("r", "c", lambda x, y: y - x)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    kl = total(F.zip_with("p", "q", lambda p, q: 0.5 * (F.exp(p) - F.exp(q)) * (p - q)))
+    part = lambda v: F.transform(v, lambda x: F.exp(x - F.col(f"most.{v}")))
+    weighed = lambda v: total(F.zip_with(part(v), gap, lambda e, g: e * g)) / total(part(v))
+    kl = 0.5 * (weighed("c") - weighed("r"))
     rows = rows.select(group, total(F.transform(gap, lambda g: g * g)).alias("se"), F.array_max(F.transform(gap, F.abs)).alias("top"), kl.alias("kl"), _dot(F.col("r"), F.col("c")).alias("d"), _dot(F.col("r"), F.col("r")).alias("a"), _dot(F.col("c"), F.col("c")).alias("b"), F.size("r").alias("n"))
     out = rows.groupBy(group).agg(F.sum("se").alias("se"), F.max("top").alias("max_difference"), F.avg("kl").alias("symmetric_kl"), F.sum("d").alias("d"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n_values"))
     none = lambda c: F.col(c) <= 1e-24
