@@ -81,23 +81,24 @@ def chain_faults(stages: DataFrame, series: str, order: str, start: str, end: st
 PRIME, INDEX_BY, INDEX_PLUS, SIGN_BY, SIGN_PLUS = 2_147_483_647, 1_103_515_245, 12_345, 214_013, 2_531_011
 
 
-def _wrapped(value: Column) -> Column:
-    """A decimal as a signed 64-bit integer that wraps around."""
-    turn, half = (F.lit(str(n)).cast("decimal(38,0)") for n in (2**64, 2**63))
-    low = F.pmod(value, turn)
-    return F.when(low >= half, low - turn).otherwise(low)
+def _wrapped(value: Column, by: int, plus: int) -> Column:
+    """value * by + plus in 64 bits that wrap around, from halves that don't: shifts drop what is beyond, and ``by`` is below 2**31."""
+    low = F.lit(2**32 - 1)
+    right = value.bitwiseAND(low) * F.lit(by) + F.lit(plus)
+    left = F.shiftright(value, 32) * F.lit(by) + F.shiftrightunsigned(right, 32)
+    return F.shiftleft(left, 32) + right.bitwiseAND(low)
 
 
 def sketch_slot(value: Column, dim: int, seed: int) -> Column:
     """``slot`` and ``sign`` of an integer: products wrap at 64 bits, remainders are never negative."""
-    mixed = lambda by, plus: F.pmod(_wrapped(value.cast("decimal(38,0)") * F.lit(by).cast("decimal(12,0)") + plus), F.lit(PRIME).cast("decimal(38,0)")).cast("long")
+    mixed = lambda by, plus: F.pmod(_wrapped(value.cast("long"), by, plus), F.lit(PRIME).cast("long"))
     return F.struct((mixed(INDEX_BY, seed * INDEX_PLUS) % dim).alias("slot"), (mixed(SIGN_BY, seed * SIGN_PLUS) % 2 * 2 - 1).alias("sign"))
 
 
 def count_sketch(values: DataFrame, value: str, dim: int, seed: int) -> DataFrame:
-    """``slot, total`` of a table of integers: equal values are counted first, so few hashes are made."""
-    counted = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).select("n", sketch_slot(F.col(value), dim, seed).alias("s"))
-    return counted.groupBy(F.col("s.slot").alias("slot")).agg(F.sum(F.col("n") * F.col("s.sign")).cast("long").alias("total"))
+    """``slot, total`` of a table of integers: signs are added up where the values are, so no more than the slots is dealt."""
+    slots = values.select(sketch_slot(F.col(value), dim, seed).alias("s"))
+    return slots.groupBy(F.col("s.slot").alias("slot")).agg(F.sum("s.sign").cast("long").alias("total"))
 
 
 def bigram_values(ids: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import unit_fraction
 from .operators import joins, measures
+from .plans.tables import stored
 from .sequences import word_ids
 
 
@@ -165,7 +166,7 @@ def chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:  # WIN-11, GOV-
 
 
 def token_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:  # XFN-23, AGG-15
-    ids = _table(spark, sf_dir, "documents").select(word_ids(F.col("text")).alias("w"))
+    ids = stored(_table(spark, sf_dir, "documents").select(word_ids(F.col("text")).alias("w")), "sketch-ids")
     one = measures.count_sketch(ids.select(F.explode("w").alias("v")), "v", 256, 17).withColumn("kind", F.lit("unigram"))
     two = measures.count_sketch(ids.select(F.explode(measures.bigram_values(F.col("w"))).alias("v")), "v", 512, 18).withColumn("kind", F.lit("bigram"))
     return one.unionByName(two)
