@@ -29,10 +29,14 @@ def greedy_disjoint(items: DataFrame) -> DataFrame:
     """``id, accepted``: ids in order are accepted if they share no token with an accepted
     one (rows ``id, token``). In a round, a row that is the least of all its tokens is
     accepted, and rows that share a token with it are not. Rounds follow the longest chain
-    of conflicts; decided rows take no part in later ones. Tokens are folded to their least
-    row before the shuffle, so a token that most rows have costs no single task."""
-    rest = stored(items.select("id", "token").distinct(), "greedy-items")
-    every, accepted = rest.select("id").distinct(), None
+    of conflicts; decided rows take no part in later ones. Items are dealt by token once: a token
+    of one row is in no conflict, and tokens of the same rows are one. Tokens are folded to their
+    least row before the shuffle, so a token that most rows have costs no single task."""
+    each = Window.partitionBy("token")
+    shared = items.select("id", "token").repartition("token").distinct().withColumn("n", F.count(F.lit(1)).over(each)).withColumn("same", F.bit_xor(F.xxhash64("id")).over(each))
+    every = stored(shared.groupBy("id").agg(F.collect_set(F.when(F.col("n") > 1, F.struct("n", "same"))).alias("tokens")), "greedy-ids")
+    rest = stored(every.select("id", F.explode("tokens").alias("token")), "greedy-items")
+    accepted, every = stored(every.where("size(tokens) = 0").select("id"), "greedy-accepted"), every.select("id")
     while not rest.isEmpty():
         least = rest.groupBy("token").agg(F.min("id").alias("least"))
         first = rest.join(least, "token").groupBy("id").agg(F.max((F.col("least") < F.col("id")).cast("int")).alias("behind")).where("behind = 0")
@@ -40,9 +44,7 @@ def greedy_disjoint(items: DataFrame) -> DataFrame:
         gone = rest.join(first, "id", "left_semi").select("token").distinct()
         out = rest.join(gone, "token", "left_semi").select("id").distinct()
         rest = stored(rest.join(out, "id", "left_anti"), "greedy-items")
-        accepted = first if accepted is None else accepted.unionByName(first)
-    if accepted is None:
-        return every.withColumn("accepted", F.lit(True))
+        accepted = accepted.unionByName(first)
     return every.join(accepted.withColumn("accepted", F.lit(True)), "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
