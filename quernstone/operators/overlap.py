@@ -27,11 +27,32 @@ def grams(rows: DataFrame, key: str, text: str, widths: tuple[int, ...]) -> Data
     return out
 
 
+def _found(corpus: DataFrame, text: str, wanted: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """``n, h, h2``: the wanted n-grams that the corpus has.
+
+    A run of words is wanted only if its first words are: each width is looked up among
+    the places that the width below left, which after two words are few."""
+    wanted = stored(wanted, "overlap-wanted")
+    hashed = corpus.select(F.explode(F.array(F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))).alias("w"))
+    most = max(widths)
+    runs = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(most)])
+    places, out = hashed.select(F.inline(runs)), None
+    for n in sorted(widths):
+        run = [F.col(f"w{i}") for i in range(n)]
+        at = hashed.select(F.explode("w").alias("w0")) if n == 1 else places
+        whole = at.where(f"w{n - 1} IS NOT NULL").withColumn("h", F.xxhash64(*run)).withColumn("h2", F.xxhash64(F.lit(n), *run))
+        hits = whole.join(wanted.where(F.col("n") == n).select("h", "h2"), ["h", "h2"], "left_semi")
+        part = hits.select(F.lit(n).alias("n"), "h", "h2").distinct()
+        out = part if out is None else out.unionByName(part)
+        if 1 < n < most:
+            places = stored(hits.drop("h", "h2").distinct(), "overlap-places")
+    return out
+
+
 def overlap_rates(items: DataFrame, key: str, corpus: DataFrame, text: str, widths: tuple[int, ...] = tuple(range(1, 13))) -> DataFrame:
     """``key, n, n_grams, n_found, rate``: how many of an item's n-grams the corpus has."""
     mine = stored(grams(items, key, text, widths).distinct(), "overlap-items")
-    held = corpus.select(F.lit(0).alias("any"), text)
-    found = grams(held, "any", text, widths).join(mine.select("n", "h", "h2").distinct(), ["n", "h", "h2"], "left_semi").select("n", "h", "h2").distinct()
+    found = _found(corpus, text, mine.select("n", "h", "h2").distinct(), widths)
     rows = mine.join(found.withColumn("hit", F.lit(1)), ["n", "h", "h2"], "left").groupBy(key, "n").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("n_found"))
     return rows.withColumn("rate", F.col("n_found") / F.col("n_grams"))
 
