@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,29 +33,43 @@ def response_key(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 256)
 
 
-def finalized(requests: DataFrame, results: DataFrame, critiques: DataFrame, least: int, most: int) -> DataFrame:
+def _gated(results: DataFrame, least: int, most: int, shown: Callable[[Column], Column]) -> DataFrame:
+    """Results (``request_id, content, finish``) with all that their text alone tells, each fact once and where the text lies:
+    its first mark, what is shown of the clean text, reasons, stanzas and, of those without a reason, response and size."""
+    told = joins.result_state(F.col("content"), F.col("finish")) == "generated"
+    clean = records.without_markdown(F.coalesce("content", F.lit("")))["clean"]
+    rows = results.select("request_id", "finish", F.substring(F.trim("content"), 1, 1).alias("mark"), F.when(told, clean).alias("clean"))
+    reasons = records.response_reasons(F.col("clean"), F.lit(least), F.lit(most), REFUSALS, QUOTATIONS)
+    rows = rows.withColumn("told", reasons).withColumn("stanzas", records.stanza_counts(F.col("clean")))
+    passed = lambda c: F.when(F.size("told") == 0, c)
+    return rows.select(
+        "request_id", "finish", "mark", shown(F.col("clean")).alias("clean"), "told", "stanzas",
+        passed(response_key(F.col("clean"))).alias("response"), passed(F.regexp_count("clean", F.lit(WORD)).cast("long")).alias("size"),
+    )
+
+
+def finalized(requests: DataFrame, results: DataFrame, critiques: DataFrame, least: int, most: int, shown: Callable[[Column], Column] = lambda clean: clean) -> DataFrame:
     """``request_id, state, reasons, clean, size`` of every request (``request_id, form``), by its result
     (``request_id, content, finish``) and critique (``request_id, decision``).
 
     States, the first that applies: ``missing``, ``unusable``, ``truncated``; ``rejected`` with every reason of the
     answer without its markdown; ``waiting`` without a critique; ``duplicate`` of an accepted answer
-    with a smaller id; ``accepted``. Only rejected answers have reasons, and only accepted ones a size in words."""
-    rows = joins.classified(requests, results, "request_id", F.col("content"), F.col("finish")).select("request_id", "form", "state", "content")
-    clean = records.without_markdown(F.coalesce("content", F.lit("")))["clean"]
-    rows = stored(with_critiques(rows, critiques, "request_id").select("request_id", "form", "state", "criticised", "decision", clean.alias("clean")), "answers")
-    reasons = records.response_reasons(F.col("clean"), F.lit(least), F.lit(most), REFUSALS, QUOTATIONS)
+    with a smaller id; ``accepted``. Only rejected answers have reasons, and only accepted ones a size in words.
+    ``clean`` is what ``shown`` makes of the clean text, all of it by default; what it leaves out is not shuffled."""
+    rows = joins.classified(with_critiques(requests, critiques, "request_id"), _gated(results, least, most, shown), "request_id", F.col("mark"), F.col("finish"))
     more = F.array_compact(F.array(
-        F.when(records.structural_mismatch(F.col("form"), records.stanza_counts(F.col("clean"))), "structural_mismatch"),
+        F.when(records.structural_mismatch(F.col("form"), F.col("stanzas")), "structural_mismatch"),
         F.when(F.col("criticised") & ~F.coalesce(F.col("decision") == "accept", F.lit(False)), "critic_rejected"),
     ))
     made = F.col("state") == "generated"
-    rows = rows.withColumn("reasons", F.when(made, F.array_join(F.concat(reasons, more), ",")).otherwise(""))
+    rows = rows.withColumn("reasons", F.when(made, F.array_join(F.concat("told", more), ",")).otherwise(""))
     state = F.when(~made, F.col("state")).when(F.col("reasons") != "", "rejected").when(~F.col("criticised"), "waiting").otherwise("accepted")
-    rows = rows.withColumn("state", state).withColumn("response", response_key(F.col("clean")))
-    first = rows.where("state = 'accepted'").groupBy("response").agg(F.min("request_id").alias("first"))
-    rows = rows.join(first, "response", "left").withColumn("state", F.when((F.col("state") == "accepted") & (F.col("request_id") > F.col("first")), "duplicate").otherwise(F.col("state")))
-    size = F.when(F.col("state") == "accepted", F.regexp_count("clean", F.lit(WORD)).cast("long"))
-    return rows.select("request_id", "state", "reasons", F.when(F.col("state").isin("accepted", "duplicate", "waiting", "rejected"), F.col("clean")).alias("clean"), size.alias("size"))
+    rows = stored(rows.withColumn("state", state).select("request_id", "state", "reasons", "clean", "response", "size"), "answers")
+    # The first of equal answers is found by its own id, so that copies don't meet in one task.
+    first = rows.where("state = 'accepted'").groupBy("response").agg(F.min("request_id").alias("request_id")).withColumn("first", F.lit(True))
+    accepted = F.col("state") == "accepted"
+    rows = rows.join(first, ["request_id", "response"], "left").withColumn("state", F.when(accepted & F.col("first").isNull(), "duplicate").otherwise(F.col("state")))
+    return rows.select("request_id", "state", "reasons", "clean", F.when(accepted, F.col("size")).alias("size"))
 
 
 def assembled(chunks: list[DataFrame], budget: int) -> DataFrame:
@@ -62,12 +78,11 @@ def assembled(chunks: list[DataFrame], budget: int) -> DataFrame:
     rows = chunks[0].where("state = 'accepted'")
     for c in chunks[1:]:
         rows = rows.unionByName(c.where("state = 'accepted'"))
-    rows = stored(rows.select("request_id", "clean", "size"), "assembled")
+    rows = stored(rows.select("request_id", "clean", "size", response_key(F.col("clean")).alias("response")), "assembled")
     if again := rows.groupBy("request_id").count().where("count > 1").first():
         raise ValueError(f"{again['request_id']!r} is in {again['count']} chunks")
-    keyed = rows.withColumn("response", response_key(F.col("clean")))
-    first = keyed.groupBy("response").agg(F.min("request_id").alias("first"))
-    kept = keyed.join(first, "response").where(F.col("request_id") == F.col("first")).select("request_id", "clean", "size")
+    first = rows.groupBy("response").agg(F.min("request_id").alias("request_id"))
+    kept = rows.join(first, ["request_id", "response"], "left_semi").drop("response")
     total = running(dealt(kept, [], ["request_id"], "assembled"), [], ["request_id"], "sum", F.col("size"), "total", inclusive=True).drop(PART)
     total = stored(total, "assembled-totals")
     if total.where(F.col("total") >= budget).limit(1).count() == 0:
@@ -75,7 +90,7 @@ def assembled(chunks: list[DataFrame], budget: int) -> DataFrame:
     return total.where(F.col("total") - F.col("size") < budget)
 
 
-def _answers(spark: SparkSession, sf_dir: str, odd: int | None = None) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str, odd: int | None = None, **shown: Callable[[Column], Column]) -> DataFrame:
     """Documents as answers to the request of their number, some missing, empty or cut; labels are critiques."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lit(True) if odd is None else F.col("doc_id") % 2 == odd)
     n = F.col("doc_id")
@@ -83,11 +98,11 @@ def _answers(spark: SparkSession, sf_dir: str, odd: int | None = None) -> DataFr
     content = F.when(n % 13 != 0, F.concat(F.lit("*"), F.regexp_replace("text", r"([.,]) ", "$1\n"), F.lit("*")))
     results = docs.where(n % 11 != 0).select(n.alias("request_id"), content.alias("content"), F.when(n % 17 == 0, "length").otherwise("stop").alias("finish"))
     said = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("request_id")).agg(F.when(F.max("toxic") == 0, "accept").otherwise("reject").alias("decision"))
-    return finalized(requests, results, said.join(requests, "request_id", "left_semi"), 1, 40)
+    return finalized(requests, results, said.join(requests, "request_id", "left_semi"), 1, 40, **shown)
 
 
 def finalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:  # PLN-7, JOIN-11, JOIN-12, FLT-9, FLT-10, WIN-4
-    return _answers(spark, sf_dir).select("request_id", "state", "reasons", F.sha2("clean", 256).alias("clean"), "size")
+    return _answers(spark, sf_dir, shown=lambda clean: F.sha2(clean, 256))
 
 
 def assembled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:  # PLN-8: two chunks, even and odd requests

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,19 +152,30 @@ def critique_reasons(row: dict[str, Column], least: dict[str, int]) -> Column:
     return F.array_compact(F.array(F.when(row["decision"] != "accept", "critic_rejected"), *scores, *flags))
 
 
+#: Every character that ends no line, as ranges with the commonest first, and the same without the space.
+_SPACED = r"\x20-\x84\x00-\x09\x0E-\x1B\x1F\x86-\x{2027}\x{202A}-\x{10FFFF}"
+_SOLID = _SPACED.replace(r"\x20", r"\x21", 1)
+
+
 def response_reasons(text: Column, least: Column, most: Column, refusals: tuple[str, ...], quotations: tuple[str, ...]) -> Column:
-    """Every reason against an answer, in order: lines, words, fence, control characters, refusal, quotation, separators."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"), lambda x: F.trim(x)), lambda x: x != "")
-    n, words = F.size(lines), F.regexp_count(text, F.lit(r"[\p{L}\p{N}_']+"))
-    low = F.lower(text)
-    has = lambda marks: F.lit(False) if not marks else F.greatest(*[low.contains(m) for m in (*marks, marks[0])])
-    rules = F.size(F.filter(lines, lambda x: x.isin("---", "***")))
-    return F.array_compact(F.array(
-        F.when((n < least) | (n > most), F.concat(F.lit("line_count="), n.cast("string"), F.lit("_expected="), least.cast("string"), F.lit("-"), most.cast("string"))),
-        F.when((words < n) | (words > 600), F.concat(F.lit("word_count="), words.cast("string"))),
-        F.when(text.contains("```"), "markdown_fence"), F.when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"), "control_character"),
-        F.when(has(refusals), "refusal_boilerplate"), F.when(has(quotations), "disallowed_quotation"), F.when(rules > 1, "multiple_poem_separator"),
-    ))
+    """Every reason against an answer, in order: lines, words, fence, control characters, refusal, quotation, separators.
+    What the reasons are told from is bound to a name of its own, as each mention of a column may read the text anew."""
+    facts = F.struct(
+        F.regexp_count(text, F.lit(f"[{_SOLID}][{_SPACED}]*+")).alias("lines"), F.regexp_count(text, F.lit(r"[\p{L}\p{N}_']+")).alias("words"), F.lower(text).alias("low"),
+        F.when(text.contains("---") | text.contains("***"), F.regexp_count(text, F.lit(rf"(?<![{_SPACED}]) *+(?:---|\*\*\*) *+(?![{_SPACED}])"))).alias("rules"),
+    )
+
+    def reasons(f: Column) -> Column:
+        n, words = f["lines"], f["words"]
+        has = lambda marks: reduce(Column.__or__, [f["low"].contains(m) for m in marks], F.lit(False))
+        return F.array_compact(F.array(
+            F.when((n < least) | (n > most), F.concat(F.lit("line_count="), n.cast("string"), F.lit("_expected="), least.cast("string"), F.lit("-"), most.cast("string"))),
+            F.when((words < n) | (words > 600), F.concat(F.lit("word_count="), words.cast("string"))),
+            F.when(text.contains("```"), "markdown_fence"), F.when(text.rlike(r"[\p{Cc}&&[^\t\n\r]]"), "control_character"),
+            F.when(has(refusals), "refusal_boilerplate"), F.when(has(quotations), "disallowed_quotation"), F.when(f["rules"] > 1, "multiple_poem_separator"),
+        ))
+
+    return F.transform(F.array(facts), reasons)[0]
 
 
 def stanza_counts(text: Column) -> Column:
@@ -190,7 +202,8 @@ def retry_reason(found: Column, body: Column) -> Column:
 
 def without_markdown(text: Column) -> Column:
     """``clean`` text and counts of what was taken out: rules, pairs of asterisks, single ones."""
-    rule = r"(?m)^[ \t]*(?:\*[ \t]*){3,}$|^[ \t]*(?:-[ \t]*){3,}$|^[ \t]*(?:_[ \t]*){3,}$"
+    # Possessive: giving back never helps, and a long rule takes no stack.
+    rule = r"(?m)^[ \t]*+(?:(?:\*[ \t]*+){3,}+|(?:-[ \t]*+){3,}+|(?:_[ \t]*+){3,}+)$"
     italic = r"\*([^*\n]+)\*"
     unruled = F.regexp_replace(text, rule, "")
     plain = F.regexp_replace(unruled, italic, "$1")

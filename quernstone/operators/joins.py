@@ -74,11 +74,15 @@ def coverage(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
     )
 
 
+def result_state(content: Column, finish: Column) -> Column:
+    """What a result is: unusable, truncated or generated."""
+    return F.when(F.coalesce(F.trim(content), F.lit("")) == "", "unusable").when(finish == "length", "truncated").otherwise("generated")
+
+
 def classified(requests: DataFrame, results: DataFrame, key: str, content: Column, finish: Column) -> DataFrame:
     """Requests with what became of them: missing, unusable, truncated or generated."""
     rows = requests.join(results.withColumn("came_", F.lit(True)), key, "left")
-    state = F.when(F.col("came_").isNull(), "missing").when(F.coalesce(F.trim(content), F.lit("")) == "", "unusable").when(finish == "length", "truncated").otherwise("generated")
-    return rows.withColumn("state", state).drop("came_")
+    return rows.withColumn("state", F.when(F.col("came_").isNull(), "missing").otherwise(result_state(content, finish))).drop("came_")
 
 
 def merged_manifests(*parts: DataFrame) -> DataFrame:
