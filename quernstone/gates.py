@@ -90,8 +90,10 @@ def lineage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:  # GOV-13
 
 
 def functional_gates(spark: SparkSession, sf_dir: str) -> DataFrame:  # FLT-16, FLT-15
-    """Means that lie on a bound turn on the order of addition, so lines are added as they are stored; an order has few."""
-    checks = {"discount": F.col("d") <= 0.05, "quantity": F.col("q") >= 25, "lines": F.col("n") < 6}
+    """Means that lie on a bound turn on the order of addition, so lines are added as they are stored; an order has few.
+    An order whose lines all lack a value passes that value's gate."""
+    passes = lambda c: F.coalesce(c, F.lit(True))
+    checks = {"discount": passes(F.col("d") <= 0.05), "quantity": passes(F.col("q") >= 25), "lines": F.col("n") < 6}
     place = F.struct("_metadata.file_path", "_metadata.row_index", "l_discount", "l_quantity")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(place)).alias("l"), F.count(F.lit(1)).alias("n"))
     rows = lines.select("l_orderkey", records.mean_in_order(F.col("l.l_discount")).alias("d"), records.mean_in_order(F.col("l.l_quantity")).alias("q"), "n")
